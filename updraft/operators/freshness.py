@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The hour from which today's data is expected to be complete,
-# days re-read before the newest stored bar, and the gap that forces a reload.
+# days re-read before the newest stored bar, the gap that forces a reload, and
+# the months a full load reads.
 FRESH_CUTOFF_HOUR = 21
 OVERLAP_DAYS = 5
 FULL_RELOAD_DAYS = 180
+FULL_LOAD_MONTHS = 6
 
 
 def moment(now: dt.datetime | Column) -> Column:
@@ -70,8 +72,10 @@ def with_latest_trading_day(
     if calendar is None:
         return df.withColumn(out, last_weekday(candidate_day(now)))
     lookup = calendar.select(F.col("day").alias("_day"), F.col("last_open_day").alias(out))
+    # A calendar holds one row per day, so it is safe to send everywhere.
     return (
-        df.withColumn("_day", candidate_day(now)).join(lookup, "_day", "left").drop("_day")
+        df.withColumn("_day", candidate_day(now))
+        .join(F.broadcast(lookup), "_day", "left").drop("_day")
     )
 
 
@@ -124,14 +128,36 @@ def with_stale_flags(df: DataFrame, latest: Column, today: dt.date | Column) ->
 
 
 def fetch_plan(prices: DataFrame, today: dt.date | Column, by_code: bool = False) -> DataFrame:
-    """What the next load must read: (full, start), overall or per code.
+    """What the next load must read: (full, start, read_from), overall or per code.
 
     ``start`` overlaps the newest stored bar to pick up late corrections; it is
     NULL for a full load, planned when there is no data or a long gap.
+    ``read_from`` is the first day to read either way.
     """
     latest = (
         prices.groupBy("code").agg(F.max("date").alias("latest")) if by_code else latest_date(prices)
     )
     start = F.date_sub("latest", OVERLAP_DAYS)
     full = F.coalesce(F.datediff(day(today), start) >= FULL_RELOAD_DAYS, F.lit(True))
-    return latest.withColumn("full", full).withColumn("start", F.when(~full, start))
+    return (
+        latest.withColumn("full", full)
+        .withColumn("start", F.when(~full, start))
+        .withColumn("read_from", F.coalesce("start", _full_load_start(today)))
+    )
+
+
+def _full_load_start(today: dt.date | Column) -> Column:
+    return F.add_months(day(today), -FULL_LOAD_MONTHS)
+
+
+def planned_quotes(quotes: DataFrame, plan: DataFrame, today: dt.date | Column) -> DataFrame:
+    """The quotes a plan asks for.
+
+    An overall plan becomes a date bound that prunes the scan. A plan per code
+    is looked up by code; codes it does not know are loaded in full.
+    """
+    if "code" not in plan.columns:
+        return quotes.filter(F.col("date") >= plan.select("read_from").scalar())
+    asked = quotes.join(plan.select("code", "read_from"), "code", "left")
+    first = F.coalesce("read_from", _full_load_start(today))
+    return asked.filter(F.col("date") >= first).select(*quotes.columns)

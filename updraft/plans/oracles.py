@@ -368,12 +368,26 @@ ORACLES: dict[str, str] = {
       WHERE s.l_linestatus = 'F' AND s.l_returnflag = l.l_returnflag)""",
     "fetch_plan": f"""
     SELECT latest, DATE '2001-11-12' - (latest - 5) >= 180 AS "full",
-           CASE WHEN DATE '2001-11-12' - (latest - 5) < 180 THEN latest - 5 END AS "start"
+           CASE WHEN DATE '2001-11-12' - (latest - 5) < 180 THEN latest - 5 END AS "start",
+           CASE WHEN DATE '2001-11-12' - (latest - 5) < 180 THEN latest - 5
+                ELSE DATE '2001-05-12' END AS read_from
     FROM (SELECT max(date) AS latest FROM ({SUPPLIER_WEEK}))""",
     "fetch_plan_by_code": f"""
     SELECT code, latest, DATE '2001-11-12' - (latest - 5) >= 180 AS "full",
-           CASE WHEN DATE '2001-11-12' - (latest - 5) < 180 THEN latest - 5 END AS "start"
+           CASE WHEN DATE '2001-11-12' - (latest - 5) < 180 THEN latest - 5 END AS "start",
+           CASE WHEN DATE '2001-11-12' - (latest - 5) < 180 THEN latest - 5
+                ELSE DATE '2001-05-12' END AS read_from
     FROM (SELECT code, max(date) AS latest FROM ({PART_MONTH}) GROUP BY code)""",
+    "planned_quotes": f"""
+    SELECT code, date, close FROM ({PART_MONTH})
+    JOIN (SELECT code, CASE WHEN DATE '1998-02-10' - (max(date) - 5) < 180 THEN max(date) - 5
+                            ELSE DATE '1997-08-10' END AS read_from
+          FROM ({PART_MONTH}) WHERE date < DATE '1998-02-01' GROUP BY code) USING (code)
+    WHERE date >= read_from
+    UNION ALL
+    SELECT code, date, close FROM ({PART_MONTH})
+    WHERE date >= DATE '1997-08-10'
+      AND code NOT IN (SELECT code FROM ({PART_MONTH}) WHERE date < DATE '1998-02-01')""",
     "latest_trading_day": f"""
     SELECT event_id, {_weekday_target('ts')} AS weekday_target,
            {_open_day('ts')} AS target_day

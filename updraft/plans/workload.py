@@ -201,6 +201,13 @@ def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.join(daily, "day", "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
+def _planned_quotes(prices: DataFrame) -> DataFrame:
+    """What a load after 1998-02-01 reads, planned per code."""
+    today = dt.date(1998, 2, 10)
+    plan = freshness.fetch_plan(prices.filter("date < DATE '1998-02-01'"), today, by_code=True)
+    return freshness.planned_quotes(prices.select("code", "date", "close"), plan, today)
+
+
 def _stale_flags(prices: DataFrame) -> DataFrame:
     latest = prices.groupBy("code").agg(F.max("date").alias("latest"))
     return freshness.with_stale_flags(latest, F.col("latest"), dt.date(2001, 10, 1))
@@ -253,6 +260,7 @@ QUERIES: dict[str, Query] = {
     "notify_ledger": _notify_ledger,
     "fetch_plan": _weekly(lambda p: freshness.fetch_plan(p, TODAY)),
     "fetch_plan_by_code": _bars(lambda p: freshness.fetch_plan(p, TODAY, by_code=True)),
+    "planned_quotes": _bars(_planned_quotes),
     "latest_trading_day": _latest_trading_day,
     "trading_calendar": _calendar,
     "data_freshness": _weekly(lambda p: freshness.data_freshness(p, NOW)),

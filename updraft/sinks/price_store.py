@@ -50,13 +50,11 @@ class PriceStore:
         before changes nothing and returns no months.
         """
         batch_id = str(batch_id)
-        steps = self._steps()
-        for unfinished in {b for b, step in steps if step == _STAGED}:
-            if (unfinished, _APPLIED) not in steps:
-                self._apply(unfinished)
-                steps.add((unfinished, _APPLIED))
-        if (batch_id, _APPLIED) in steps:
-            return []
+        for logged, applied in self._open_steps(batch_id):
+            if not applied:
+                self._apply(logged)
+            if logged == batch_id:
+                return []
         # Months of the calendar, not rows.
         months = sorted(r["month"] for r in touched_months(batch).select("month").collect())
         if months:
@@ -64,13 +62,16 @@ class PriceStore:
             self._apply(batch_id)
         return months
 
-    def _steps(self) -> set[tuple[str, str]]:
+    def _open_steps(self, batch_id: str) -> list[tuple[str, bool]]:
+        """(batch, applied) of the unfinished batch and of ``batch_id``, if logged."""
         try:
             log = self.spark.read.schema("batch string, step string").parquet(self.log_path)
         except AnalysisException:
-            return set()
-        # At most two rows per batch ever applied.
-        return {(r["batch"], r["step"]) for r in log.collect()}
+            return []
+        applied = log.groupBy("batch").agg(F.bool_or(F.col("step") == _APPLIED).alias("applied"))
+        # With one writer at most one batch is unfinished: two rows at most.
+        rows = applied.filter(~F.col("applied") | (F.col("batch") == batch_id)).collect()
+        return [(r["batch"], r["applied"]) for r in rows]
 
     def _record(self, batch_id: str, step: str) -> None:
         row = self.spark.createDataFrame([(batch_id, step)], "batch string, step string")
