@@ -20,7 +20,11 @@ def screen(prices: DataFrame, cfg: ScreenConfig | None = None) -> DataFrame:
 
 
 def published_screen(
-    prices: DataFrame, universe: DataFrame, cfg: ScreenConfig | None = None
+    prices: DataFrame,
+    universe: DataFrame,
+    cfg: ScreenConfig | None = None,
+    name_fallback: bool = True,
 ) -> DataFrame:
-    """The screen with names and markets."""
-    return publish(screen(prices, cfg), universe)
+    """The screen with names and markets; unknown codes are named by
+    themselves, or NULL without ``name_fallback``."""
+    return publish(screen(prices, cfg), universe, name_fallback)
