@@ -10,6 +10,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from updraft.functions import wording as say
+
 METRICS = ("volume", "turnover")
 VOL_MODES = ("all", "avg")
 
@@ -142,9 +144,11 @@ def metric_info(cfg: ScreenConfig) -> MetricInfo:
     if cfg.metric == "turnover":
         return MetricInfo(
             "turnover", cfg.turnover_vol_mult, cfg.turnover_vol_mult_short,
-            "売買代金", "百万円", 1e6, "_turnover",
+            say.TURNOVER_LABEL, say.TURNOVER_UNIT, 1e6, "_turnover",
         )
-    return MetricInfo("volume", cfg.vol_mult, cfg.vol_mult_short, "出来高", "株", 1, "")
+    return MetricInfo(
+        "volume", cfg.vol_mult, cfg.vol_mult_short, say.VOLUME_LABEL, say.VOLUME_UNIT, 1, ""
+    )
 
 
 def options_from_flags(flags: Iterable[str]) -> tuple[ScreenConfig, bool]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from updraft.config import MetricInfo
+from updraft.functions import wording as say
 
 
 def grouped(value: Column, digits: int = 0) -> Column:
@@ -37,14 +38,17 @@ def metric_text(value: Column, info: MetricInfo, with_unit: bool = False) -> Col
     return F.concat(text, F.lit(info.unit)) if with_unit else text
 
 
+def pick(value: Column, texts: dict, otherwise: str, contains: bool = False) -> Column:
+    """The text of the first key equal to, or contained in, ``value``."""
+    chosen = F.lit(otherwise)
+    for key, text in reversed(texts.items()):
+        found = value.contains(key) if contains else value == key
+        chosen = F.when(found, F.lit(text)).otherwise(chosen)
+    return chosen
+
+
 def market_class(market: Column, otherwise: str = "") -> Column:
-    market = F.coalesce(market, F.lit(""))
-    return (
-        F.when(market.contains("プライム"), F.lit("prime"))
-        .when(market.contains("スタンダード"), F.lit("standard"))
-        .when(market.contains("グロース"), F.lit("growth"))
-        .otherwise(F.lit(otherwise))
-    )
+    return pick(market, say.MARKET_CLASSES, otherwise, contains=True)
 
 
 def score_band(score: Column) -> Column:
@@ -60,16 +64,11 @@ def rank_badge(rank: Column) -> Column:
 
 
 def medal(rank: Column) -> Column:
-    return (
-        F.when(rank == 1, F.lit("🥇"))
-        .when(rank == 2, F.lit("🥈"))
-        .when(rank == 3, F.lit("🥉"))
-        .otherwise(F.lit("🔹"))
-    )
+    return pick(rank, say.MEDALS, say.NO_MEDAL)
 
 
 def tier_mark(tier: Column) -> Column:
-    return F.when(tier == 1, F.lit("🔥")).otherwise(F.lit("✨"))
+    return pick(tier, say.TIER_MARKS, say.TIER_MARKS[2])
 
 
 def tier_class(tier: Column) -> Column:
@@ -77,27 +76,19 @@ def tier_class(tier: Column) -> Column:
 
 
 def streak_text(streak_len: Column) -> Column:
-    return F.concat(streak_len.cast("string"), F.lit("日連騰"))
+    return F.concat(streak_len.cast("string"), F.lit(say.STREAK_SUFFIX))
 
 
 def theme_status(status: Column, ignition: Column) -> Column:
     """The day's ignition event outranks the standing status."""
-    return (
-        F.when(F.coalesce(ignition, F.lit("")) != "", F.concat(F.lit("⚡ "), ignition))
-        .when(status == "初動", F.lit("⚡ 初動"))
-        .when(status.isin("監視中", "失速"), status)
-        .otherwise(F.lit("圏外"))
-    )
+    event = F.when(ignition != "", ignition).when(status == say.IGNITED, status)
+    standing = F.when(status.isin(say.WATCHED, say.STALLED), status)
+    return F.coalesce(F.concat(F.lit(say.IGNITION_MARK), event), standing, F.lit(say.OUT_OF_RANGE))
 
 
 def theme_stage(stage: Column) -> Column:
-    known = stage.contains("S1") | stage.contains("S2")
-    return F.when(known, stage).otherwise(F.lit("—"))
+    return F.when(theme_stage_class(stage) != "none", stage).otherwise(F.lit(say.NONE_MARK))
 
 
 def theme_stage_class(stage: Column) -> Column:
-    return (
-        F.when(stage.contains("S1"), F.lit("s1"))
-        .when(stage.contains("S2"), F.lit("s2"))
-        .otherwise(F.lit("none"))
-    )
+    return pick(stage, say.STAGE_CLASSES, "none", contains=True)

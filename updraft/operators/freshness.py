@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from updraft.functions import wording as say
+
 # The hour from which today's data is expected to be complete,
 # days re-read before the newest stored bar, the gap that forces a reload, and
 # the months a full load reads.
@@ -106,11 +108,9 @@ def data_freshness(
 def stale_note(latest: Column, today: dt.date | Column) -> Column:
     """Warning text when the newest data is not today's, else empty."""
     today = day(today)
-    note = F.concat(
-        F.lit("最新データは "), F.date_format(latest, "yyyy-MM-dd"),
-        F.lit(" 時点です(本日 "), F.date_format(today, "yyyy-MM-dd"),
-        F.lit(" 分は未反映の可能性)。ランキングはこの基準日のデータで算出しています。"),
-    )
+    note = F.lit(say.STALE_NOTE)
+    for name, date in (("{latest}", latest), ("{today}", today)):
+        note = F.replace(note, F.lit(name), F.date_format(date, "yyyy-MM-dd"))
     return F.when(latest.isNotNull() & (latest != today), note).otherwise(F.lit(""))
 
 

@@ -91,11 +91,14 @@ def rank_hits(
         F.col("min_ratio").desc(), F.col("code").asc(),
     ]
     numbered = ranking.row_numbers(ranked, order, "rank", by, single_task=single_task)
+    lowest = F.col("min_m")
+    if hits.schema["min_m"].dataType.typeName() != "long":
+        lowest = to_bigint(lowest)
     return numbered.select(
         *by, "rank", "code", F.col("streak_len").cast("bigint").alias("streak_len"),
         F.col("tier").cast("int").alias("tier"), "last_date", "last_close", "rise_pct",
         to_bigint(F.col("avg_m")).alias("avg_vol3"),
-        to_bigint(F.col("min_m")).alias("min_vol3"),
+        lowest.alias("min_vol3"),
         to_bigint(F.col("base_med")).alias("base_med"),
         "avg_ratio", "min_ratio",
         round_scaled(F.col("_score"), 3).alias("score"),

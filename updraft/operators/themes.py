@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from updraft.functions import labels
+from updraft.functions import wording as say
 from updraft.operators.freshness import moment, with_latest_trading_day
 
-ALL_STATUSES = "すべて"
 # Fixed value: the number of themes a history chart starts with.
 DEFAULT_THEMES = 5
 
@@ -64,9 +64,9 @@ def report_of(reports: DataFrame, date: str | dt.date | None = None) -> DataFram
 def theme_cards(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts above the table: ignitions, S2 stages, stalls, floor passes, all."""
     counts = [
-        F.count_if(F.col("ignition").isNotNull() | (F.col("status") == "初動")).alias("ignitions"),
+        F.count_if(F.col("ignition").isNotNull() | (F.col("status") == say.IGNITED)).alias("ignitions"),
         F.count_if(F.col("stage").contains("S2")).alias("stage2"),
-        F.count_if(F.col("status") == "失速").alias("stalled"),
+        F.count_if(F.col("status") == say.STALLED).alias("stalled"),
         F.count_if(_true("floor_pass")).alias("floor_passes"),
         F.count(F.lit(1)).alias("themes"),
     ]
@@ -74,9 +74,9 @@ def theme_cards(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def filter_themes(
-    report: DataFrame, status: str = ALL_STATUSES, floor_only: bool = False
+    report: DataFrame, status: str = say.ALL_STATUSES, floor_only: bool = False
 ) -> DataFrame:
-    if status != ALL_STATUSES:
+    if status != say.ALL_STATUSES:
         report = report.filter(F.col("status") == status)
     if floor_only:
         report = report.filter(_true("floor_pass"))
@@ -101,16 +101,16 @@ def with_confidence_width(report: DataFrame) -> DataFrame:
 
 def theme_rows(report: DataFrame) -> DataFrame:
     """The report as display texts, one row per theme."""
-    none = F.lit("—")
+    none = F.lit(say.NONE_MARK)
     tip = F.concat(
-        F.lit("参加率 "), labels.fixed(F.col("participation_rate") * 100, 1),
-        F.lit("% / 集中度 "), labels.fixed(F.col("concentration"), 2),
-        F.lit(" / 初動登録 "), F.coalesce("registered_since", none),
-        F.lit(" / 直近点火 "), F.coalesce("last_ignition", none),
+        F.lit(say.TIP_PARTICIPATION), labels.fixed(F.col("participation_rate") * 100, 1),
+        F.lit(say.TIP_CONCENTRATION), labels.fixed(F.col("concentration"), 2),
+        F.lit(say.TIP_REGISTERED), F.coalesce("registered_since", none),
+        F.lit(say.TIP_IGNITED), F.coalesce("last_ignition", none),
     )
     return with_confidence_width(report).select(
         "rank", labels.rank_badge(F.col("rank")).alias("badge"), "theme",
-        F.when(_true("small_universe"), F.lit("⚠小母数")).otherwise(F.lit("")).alias("warning"),
+        F.when(_true("small_universe"), F.lit(say.SMALL_UNIVERSE)).otherwise(F.lit("")).alias("warning"),
         labels.theme_status(F.col("status"), F.col("ignition")).alias("status"),
         labels.theme_stage(F.col("stage")).alias("stage"),
         labels.theme_stage_class(F.col("stage")).alias("stage_class"),
@@ -118,12 +118,12 @@ def theme_rows(report: DataFrame) -> DataFrame:
         (F.col("confidence") < 0).alias("negative"),
         labels.signed(F.col("confidence"), 2).alias("confidence"),
         F.concat_ws("/", F.col("participants").cast("string"),
-                    F.concat(F.col("eligible_members").cast("string"), F.lit("社")))
+                    F.concat(F.col("eligible_members").cast("string"), F.lit(say.MEMBER_UNIT)))
         .alias("participation"),
         labels.signed(F.col("turnover_anomaly"), 2).alias("turnover_anomaly"),
         labels.signed(F.col("mkt_rel_z"), 2).alias("mkt_rel_z"),
         labels.signed(F.col("breadth_z"), 2).alias("breadth_z"),
-        F.when(_true("floor_pass"), F.lit("✓")).otherwise(none).alias("floor"),
+        F.when(_true("floor_pass"), F.lit(say.PASS_MARK)).otherwise(none).alias("floor"),
         F.coalesce("top_contributors", F.lit("")).alias("contributors"),
         tip.alias("tip"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from updraft.functions import wording as say
 from updraft.functions.text import before_bracket, missing_to_null, strip
 from updraft.operators.upsert import latest_rows
 
@@ -59,7 +60,7 @@ def normalize_listing(
 
     The market is the segment's text before its bracket.
     """
-    domestic = listing.filter(F.col(f"`{segment}`").contains("内国株式")).select(
+    domestic = listing.filter(F.col(f"`{segment}`").contains(say.DOMESTIC_SHARES)).select(
         strip(F.col(f"`{code}`")).alias("code"),
         strip(F.col(f"`{name}`")).alias("name"),
         before_bracket(F.col(f"`{segment}`")).alias("market"),

@@ -9,21 +9,12 @@ from pyspark.sql import functions as F
 
 from updraft.config import ScreenConfig, metric_info
 from updraft.functions import labels
+from updraft.functions import wording as say
 from updraft.functions.text import matches
 from updraft.operators.freshness import stale_note
 
-# The view orders offered, by label: (column, ascending).
-VIEW_ORDERS = {
-    "総合順位": ("rank", True),
-    "上昇率が高い順": ("rise_pct", False),
-    "最小倍率が高い順": ("min_ratio", False),
-    "平均倍率が高い順": ("avg_ratio", False),
-    "連騰日数が長い順": ("streak_len", False),
-}
 # Fixed value: the number of hits a notification lists.
 NOTIFY_TOP = 20
-NO_HITS = "該当する銘柄はありませんでした"
-NO_HITS_NOTICE = "今回は条件に合致する銘柄はありませんでした。"
 
 
 def data_period(prices: DataFrame) -> DataFrame:
@@ -56,11 +47,11 @@ def search(hits: DataFrame, query: str) -> DataFrame:
 
 
 def sort_view(hits: DataFrame, order: str = "総合順位") -> DataFrame:
-    """One of ``VIEW_ORDERS``, by label or column; equal values go by rank."""
-    by_column = {column: (column, ascending) for column, ascending in VIEW_ORDERS.values()}
-    if order not in VIEW_ORDERS and order not in by_column:
+    """One of ``say.VIEW_ORDERS``, by label or column; equal values go by rank."""
+    by_column = {column: (column, ascending) for column, ascending in say.VIEW_ORDERS.values()}
+    if order not in say.VIEW_ORDERS and order not in by_column:
         raise ValueError(f"unknown view order {order!r}")
-    column, ascending = VIEW_ORDERS.get(order) or by_column[order]
+    column, ascending = say.VIEW_ORDERS.get(order) or by_column[order]
     first = F.col(column).asc() if ascending else F.col(column).desc_nulls_last()
     return hits.orderBy(first, "rank")
 
@@ -70,9 +61,9 @@ def report_rows(hits: DataFrame, cfg: ScreenConfig) -> DataFrame:
     info = metric_info(cfg)
     unit_text = lambda name: labels.metric_text(F.col(name), info, with_unit=True)
     tip = F.concat(
-        F.lit(f"連騰中の平均{info.label} "), unit_text("avg_vol3"),
-        F.lit(" / 最小 "), unit_text("min_vol3"),
-        F.lit(" / 基準中央値 "), unit_text("base_med"),
+        F.lit(f"{say.TIP_AVERAGE}{info.label} "), unit_text("avg_vol3"),
+        F.lit(say.TIP_LOWEST), unit_text("min_vol3"),
+        F.lit(say.TIP_BASE), unit_text("base_med"),
     )
     return hits.select(
         "rank", labels.rank_badge(F.col("rank")).alias("badge"), "code", "name", "market",
@@ -81,7 +72,7 @@ def report_rows(hits: DataFrame, cfg: ScreenConfig) -> DataFrame:
         labels.streak_text(F.col("streak_len")).alias("streak"),
         labels.tier_class(F.col("tier")).alias("streak_class"),
         labels.grouped(F.col("last_close")).alias("close"),
-        F.concat(F.lit("▲ "), labels.fixed(F.col("rise_pct"), 2), F.lit("%")).alias("rise"),
+        F.concat(F.lit(say.RISE_MARK), labels.fixed(F.col("rise_pct"), 2), F.lit("%")).alias("rise"),
         labels.metric_text(F.col("avg_vol3"), info).alias("streak_avg"),
         labels.metric_text(F.col("min_vol3"), info).alias("streak_min"),
         labels.metric_text(F.col("base_med"), info).alias("base"),
@@ -117,7 +108,7 @@ def report_header(
         F.col("_period.from").alias("from"), F.col("_period.to").alias("to"),
         F.col("_period.codes").alias("codes"),
         F.lit(f"{info.label} | {cfg.vol_mode}").alias("mode"),
-        F.when(F.col("hits") == 0, F.lit(NO_HITS)).otherwise(F.lit("")).alias("message"),
+        F.when(F.col("hits") == 0, F.lit(say.NO_HITS)).otherwise(F.lit("")).alias("message"),
         stale_note(F.col("_period.to"), today).alias("stale_note"),
     )
 
@@ -126,16 +117,21 @@ def notification_rows(hits: DataFrame, cfg: ScreenConfig) -> DataFrame:
     """The first hits by rank as notification texts."""
     info = metric_info(cfg)
     title = F.concat(
-        labels.medal(F.col("rank")), F.lit(" "), F.col("rank").cast("string"), F.lit("位 "),
-        F.col("code"), F.lit(" "), F.coalesce("name", F.lit("nan")),
+        labels.medal(F.col("rank")), F.lit(" "), F.col("rank").cast("string"),
+        F.lit(say.RANK_SUFFIX + " "), F.col("code"), F.lit(" "), F.coalesce("name", F.lit("nan")),
         F.lit(" ("), F.coalesce("market", F.lit("")), F.lit(")"),
     )
-    body = F.concat(
-        labels.tier_mark(F.col("tier")), F.lit(" "), labels.streak_text(F.col("streak_len")),
-        F.lit("\n📈 上昇率: **+"), labels.fixed(F.col("rise_pct"), 2),
-        F.lit(f"%**\n📊 {info.label}: **"), labels.fixed(F.col("avg_ratio"), 1),
-        F.lit("倍** (平均)"),
+    streak = F.concat(
+        labels.tier_mark(F.col("tier")), F.lit(" "), labels.streak_text(F.col("streak_len"))
     )
+    rise = F.concat(
+        F.lit(say.NOTICE_RISE), labels.fixed(F.col("rise_pct"), 2), F.lit(say.NOTICE_RISE_END)
+    )
+    times = F.concat(
+        F.lit(say.NOTICE_RATIO.format(label=info.label)), labels.fixed(F.col("avg_ratio"), 1),
+        F.lit(say.NOTICE_RATIO_END),
+    )
+    body = F.concat_ws("\n", streak, rise, times)
     top = hits.orderBy("rank").limit(NOTIFY_TOP)
     return top.select("rank", title.alias("title"), body.alias("body"))
 
@@ -145,7 +141,9 @@ def notification_payload(
 ) -> DataFrame:
     """One row with the JSON message: the listed hits, or the no-hits text."""
     info = metric_info(cfg)
-    note_line = f"\n⚠️ {note}" if note else ""
+    head = say.NOTICE_TIME.format(
+        run_time=run_time, note=say.NOTE_LINE.format(note=note) if note else ""
+    )
     field = F.struct(
         F.col("title").alias("name"), F.col("body").alias("value"), F.lit(False).alias("inline")
     )
@@ -154,24 +152,17 @@ def notification_payload(
         F.array_sort(F.collect_list(F.struct("rank", field.alias("field")))).alias("listed")
     )
     total = hits.agg(F.count(F.lit(1))).scalar()
+    embed = F.struct(
+        F.lit(say.NOTICE_TITLE.format(label=info.label, top=NOTIFY_TOP)).alias("title"),
+        F.concat(
+            F.lit(f"{head}\n{say.NOTICE_COUNT}"), F.col("_total").cast("string"),
+            F.lit(say.NOTICE_COUNT_UNIT),
+        ).alias("description"),
+        F.transform("listed", lambda item: item["field"]).alias("fields"),
+    )
+    empty = F.size("listed") == 0
     message = F.struct(
-        F.lit(f"連騰{info.label}スクリーナーBot").alias("username"),
-        F.when(
-            F.size("listed") == 0,
-            F.lit(f"**📈 連騰・出来高スクリーニング ({run_time})**{note_line}\n{NO_HITS_NOTICE}"),
-        ).alias("content"),
-        F.when(
-            F.size("listed") > 0,
-            F.array(
-                F.struct(
-                    F.lit(f"📈 連騰・{info.label}ランキング (上位{NOTIFY_TOP}銘柄)").alias("title"),
-                    F.concat(
-                        F.lit(f"**抽出日時**: {run_time}{note_line}\n**該当銘柄数**: "),
-                        F.col("_total").cast("string"), F.lit(" 件"),
-                    ).alias("description"),
-                    F.transform("listed", lambda item: item["field"]).alias("fields"),
-                )
-            ),
-        ).alias("embeds"),
+        F.when(empty, F.lit(f"{head}\n{say.NOTICE_NO_HITS}")).alias("content"),
+        F.when(~empty, F.array(embed)).alias("embeds"),
     )
     return listed.withColumn("_total", total).select(F.to_json(message).alias("payload"))

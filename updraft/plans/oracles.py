@@ -289,6 +289,11 @@ def _weekday_target(now: str) -> str:
     return f"""CASE isodow({base}) WHEN 6 THEN {base} - 1 WHEN 7 THEN {base} - 2 ELSE {base} END"""
 
 
+_UNIVERSE = """
+    SELECT CAST(o_custkey AS VARCHAR) AS code, arg_max(o_orderpriority, o_orderkey) AS name,
+           arg_max(o_orderstatus, o_orderkey) AS market
+    FROM orders GROUP BY o_custkey"""
+
 _HITS_NAMED = f"universe AS ({PART_UNIVERSE} WHERE p_type <> 'ECONOMY'), "
 
 ORACLES: dict[str, str] = {
@@ -340,11 +345,10 @@ ORACLES: dict[str, str] = {
        || 'ランキングはこの基準日のデータで算出しています。' FROM bars) AS stale_note
     FROM hits""",
     ),
+    "results_csv": _published(w.LOOSE, "SELECT * FROM published"),
     "notify_top20": _published(w.LOOSE, _NOTIFY),
-    "universe_normalize": """
-    SELECT CAST(o_custkey AS VARCHAR) AS code, arg_max(o_orderpriority, o_orderkey) AS name,
-           arg_max(o_orderstatus, o_orderkey) AS market
-    FROM orders GROUP BY o_custkey""",
+    "universe_normalize": _UNIVERSE,
+    "universe_csv": _UNIVERSE,
     "listing_normalize": """
     SELECT CAST(s_suppkey AS VARCHAR) AS code, s_name AS name, n_name AS market
     FROM supplier JOIN nation ON s_nationkey = n_nationkey

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from updraft.config import ScreenConfig
+from updraft.functions.wording import ALL_STATUSES
 from updraft.operators import themes, views
 from updraft.operators.freshness import latest_date
 from updraft.operators.universe import publish
@@ -52,7 +53,7 @@ def theme_page(
     reports: DataFrame,
     now: dt.datetime,
     date: str | None = None,
-    status: str = themes.ALL_STATUSES,
+    status: str = ALL_STATUSES,
     floor_only: bool = False,
     picked: Sequence[str] | None = None,
     calendar: DataFrame | None = None,

@@ -26,6 +26,8 @@ from updraft.plans.screening import published_screen, screen
 from updraft.session import shared_dir
 from updraft.sinks import ledger
 from updraft.sinks.price_store import PriceStore
+from updraft.sinks.results import result_name, write_csv
+from updraft.sources.universe import read_universe
 from updraft.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +108,31 @@ def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_universe(raw.select("CustCode", "display_name", "Market", "o_orderkey"), order)
 
 
+def _universe_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows through a CSV file, where the last line of a code wins."""
+    folder = f"{shared_dir(spark)}/updraft-universe-{uuid.uuid4().hex}"
+    (
+        inputs.table(spark, sf_dir, "orders").orderBy("o_orderkey")
+        .select(
+            F.col("o_custkey").alias("code"), F.col("o_orderpriority").alias("銘柄名"),
+            F.col("o_orderstatus").alias("市場"),
+        )
+        .write.csv(folder, header=True)
+    )
+    return read_universe(spark, folder)
+
+
+def _results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published hits written as CSV and read back."""
+    published = _published(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/updraft-result-{uuid.uuid4().hex}/{result_name(LOOSE)}"
+    write_csv(published, folder)
+    back = spark.read.csv(folder, header=True)
+    # CSV keeps no difference between an empty text and a missing one.
+    typed = back.select(*[F.col(f.name).cast(f.dataType) for f in published.schema])
+    return typed.fillna("", ["market"])
+
+
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as an exchange listing with domestic and other segments."""
     nation = inputs.table(spark, sf_dir, "nation")
@@ -246,11 +273,13 @@ QUERIES: dict[str, Query] = {
     "report_rows": _on_published(lambda r: views.report_rows(r, LOOSE)),
     "report_rows_turnover": _on_published(lambda r: views.report_rows(r, TURNOVER), TURNOVER),
     "report_header": _report_header,
+    "results_csv": _results_csv,
     "notify_top20": _on_published(lambda r: views.notification_rows(r, LOOSE)),
     "notify_payload": _on_published(
         lambda r: views.notification_payload(r, LOOSE, "2001-11-12 22:00")
     ),
     "universe_normalize": _universe,
+    "universe_csv": _universe_csv,
     "listing_normalize": _listing,
     "wide_to_long": _wide_to_long,
     "ingest_guard": _guarded,
