@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from updraft import ScreenConfig, screen
 from updraft.operators.grid import config_grid
 from updraft.operators.sweep import sweep_screen
+from updraft.plans.screening import screen_recent_first
 
 CONFIGS = {
     "loose": ScreenConfig(streak_min=1, streak_top=2, vol_mult=1.0, vol_mult_short=1.0, min_volume=0),
@@ -64,6 +65,20 @@ def test_plain_sweep_ranks_the_bars_of_a_date(prices, rows):
     assert same(swept.filter(F.col("as_of") == as_of).drop("as_of"), expected)
 
 
+@pytest.mark.parametrize("name", CONFIGS)
+@pytest.mark.parametrize("broadcast_rows", [1_000, 0])
+def test_recent_first_equals_the_plain_screen(prices, rows, monkeypatch, name, broadcast_rows):
+    from updraft.operators import streaks
+
+    monkeypatch.setattr(streaks, "BROADCAST_ROWS", broadcast_rows)
+    cfg, everything = CONFIGS[name], prices(rows)
+    expected = screen(everything, cfg)
+    for day in (0, 12, 20, 38, 60):
+        cut = dt.date(2026, 1, 1) + dt.timedelta(days=day)
+        recent, older = everything.filter(F.col("date") >= cut), everything.filter(F.col("date") < cut)
+        assert same(screen_recent_first(recent, older, cfg), expected), cut
+
+
 def test_grid_equals_separate_screens(prices, rows):
     grid = config_grid(prices(rows), CONFIGS).persist()
     sliced = config_grid(prices(rows), CONFIGS, limit=0)

@@ -9,24 +9,22 @@ from pyspark.sql import functions as F
 
 from updraft.config import ScreenConfig, bar_turnover, metric_info
 from updraft.operators.screening import rank_hits, with_ratios
-from updraft.operators.streaks import base_median, edge_values, in_streak, with_streak
-
-_VALUES = {"volume": lambda: F.col("volume"), "turnover": bar_turnover}
+from updraft.operators.streaks import edge_values, in_base, in_streak, with_streak
 
 
 def _grid_metrics(prices: DataFrame, configs: list[ScreenConfig]) -> DataFrame:
     """Streak figures per code for every metric and baseline length in use."""
-    metrics = sorted({c.metric for c in configs})
     windows = sorted({c.base_window for c in configs})
     shortest = min(c.streak_min for c in configs)
+    streak = in_streak()
+    bases = {window: in_base(window) for window in windows}
     figures = []
-    for metric in metrics:
-        value = _VALUES[metric]()
-        figures.append(F.avg(F.when(in_streak(), value)).alias(f"avg_{metric}"))
-        figures.append(F.min(F.when(in_streak(), value)).cast("double").alias(f"min_{metric}"))
-    for window in windows:
-        for metric, value in _VALUES.items():
-            figures.append(base_median(value(), window).alias(f"base_{metric}_{window}"))
+    for metric, value in (("volume", F.col("volume")), ("turnover", bar_turnover())):
+        risen = F.when(streak, value)
+        figures.append(F.avg(risen).alias(f"avg_{metric}"))
+        figures.append(F.min(risen).cast("double").alias(f"min_{metric}"))
+        for window, base in bases.items():
+            figures.append(F.median(F.when(base, value)).alias(f"base_{metric}_{window}"))
     relevant = (F.col("streak_len") >= shortest) & (
         F.col("age") <= F.col("streak_len") + max(windows)
     )

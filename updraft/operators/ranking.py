@@ -15,11 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from updraft.session import materialize
+from updraft.session import BROADCAST_ROWS, materialize
 
-# Largest group one task may number, and largest table sent to every task.
+# Largest group one task may number.
 SINGLE_TASK_ROWS = 200_000
-BROADCAST_ROWS = 100_000
 # Copies of the value table when it is joined to a population with hot values.
 SALTS = 16
 

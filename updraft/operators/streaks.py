@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from updraft.config import ScreenConfig, bar_turnover, metric_info
+from updraft.session import BROADCAST_ROWS, materialize
 
 
 def is_up(previous_close: Column) -> Column:
@@ -63,11 +64,6 @@ def in_base(window: int) -> Column:
     return F.col("age").between(F.col("streak_len") + 1, F.col("streak_len") + window)
 
 
-def base_median(value: Column, window: int) -> Column:
-    """Interpolated median of the baseline bars; holds ``window`` values."""
-    return F.median(F.when(in_base(window), value))
-
-
 def edge_values() -> list[Column]:
     """Aggregates that pick single bars: the newest, and the last before the streak."""
     newest = F.col("age") == 1
@@ -79,27 +75,60 @@ def edge_values() -> list[Column]:
     ]
 
 
-def streak_metrics(prices: DataFrame, cfg: ScreenConfig) -> DataFrame:
-    """Streak and baseline figures of every code with a long enough streak.
+def summarize(marked: DataFrame, cfg: ScreenConfig, *extra_keys: str) -> DataFrame:
+    """Streak and baseline figures per code of bars marked by ``with_streak``.
 
-    Bars older than the baseline are dropped before grouping. All three
-    medians are kept: liquidity is judged on volume and turnover whichever
-    metric is screened.
+    All three medians are kept: liquidity is judged on volume and turnover
+    whichever metric is screened. Medians hold at most ``base_window`` values.
     """
     value = metric_info(cfg).value()
-    relevant = (F.col("streak_len") >= cfg.streak_min) & (
-        F.col("age") <= F.col("streak_len") + cfg.base_window
-    )
+    streak, base = in_streak(), in_base(cfg.base_window)
+    streak_value = F.when(streak, value)
     return (
-        with_streak(prices)
-        .filter(relevant)
-        .groupBy("code", "streak_len")
+        marked.filter(F.col("age") <= F.col("streak_len") + cfg.base_window)
+        .groupBy("code", "streak_len", *extra_keys)
         .agg(
-            F.avg(F.when(in_streak(), value)).alias("avg_m"),
-            F.min(F.when(in_streak(), value)).alias("min_m"),
-            base_median(value, cfg.base_window).alias("base_med"),
-            base_median(F.col("volume"), cfg.base_window).alias("base_vol_med"),
-            base_median(bar_turnover(), cfg.base_window).alias("base_turnover"),
+            F.avg(streak_value).alias("avg_m"),
+            F.min(streak_value).alias("min_m"),
+            F.median(F.when(base, value)).alias("base_med"),
+            F.median(F.when(base, F.col("volume"))).alias("base_vol_med"),
+            F.median(F.when(base, bar_turnover())).alias("base_turnover"),
             *edge_values(),
         )
     )
+
+
+def streak_metrics(prices: DataFrame, cfg: ScreenConfig) -> DataFrame:
+    """Figures of every code with a long enough streak; other codes and bars
+    older than the baseline are dropped before grouping."""
+    marked = with_streak(prices).filter(F.col("streak_len") >= cfg.streak_min)
+    return summarize(marked, cfg)
+
+
+def recent_first_metrics(recent: DataFrame, older: DataFrame, cfg: ScreenConfig) -> DataFrame:
+    """``streak_metrics`` of ``recent`` and ``older`` bars together, shuffling
+    older bars only for the codes that need them.
+
+    Every older bar must precede every recent one. A code is settled by its
+    recent bars when they reach past its baseline; the first bar beyond it also
+    proves the bar that ends the streak. Left over are codes with few recent
+    bars or a long streak, and codes with none: of older bars only the code
+    column is read to find the latter, and a filter on the codes left over,
+    broadcast if counted small, runs before the shuffle.
+    """
+    bars = F.count(F.lit(1)).over(Window.partitionBy("code"))
+    reach = F.col("streak_len") + cfg.base_window
+    marked = with_streak(recent).withColumn("settled", bars > reach)
+    per_code = materialize(summarize(marked, cfg, "settled"))
+
+    silent = older.select("code").distinct().join(per_code.select("code"), "code", "left_anti")
+    left_over = materialize(per_code.filter("NOT settled").select("code").unionByName(silent))
+    count = left_over.count()
+    settled = per_code.filter(F.col("settled") & (F.col("streak_len") >= cfg.streak_min))
+    settled = settled.drop("settled")
+    if count == 0:
+        return settled
+    if count <= BROADCAST_ROWS:
+        left_over = F.broadcast(left_over)
+    rest = recent.unionByName(older).join(left_over, "code", "left_semi")
+    return settled.unionByName(streak_metrics(rest, cfg))

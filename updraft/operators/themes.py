@@ -130,8 +130,9 @@ def theme_rows(report: DataFrame) -> DataFrame:
 
 
 def theme_history(reports: DataFrame) -> DataFrame:
-    """(date, theme, confidence) over all reports; reads two report columns."""
-    return reports.select(F.col("report_date").alias("date"), "theme", "confidence")
+    """(date, theme, confidence) over all reports by date; reads two report columns."""
+    columns = reports.select(F.col("report_date").alias("date"), "theme", "confidence")
+    return columns.orderBy("date")
 
 
 def history_themes(history: DataFrame) -> DataFrame:

@@ -310,6 +310,7 @@ ORACLES: dict[str, str] = {
     "screen_two_tier": _screen(PART_MONTH, w.TWO_TIER),
     "screen_liquidity": _screen(PART_MONTH, w.LIQUID),
     "screen_sliced_ranks": _screen(PART_MONTH, w.LOOSE),
+    "screen_recent_first": _screen(PART_MONTH, w.LOOSE),
     "screen_published": _published(w.LOOSE, "SELECT * FROM published"),
     "lookup_missing": _screen(
         PART_MONTH, w.LOOSE, before=_HITS_NAMED,

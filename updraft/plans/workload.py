@@ -22,7 +22,7 @@ from updraft.operators.sweep import sweep_metrics, sweep_screen
 from updraft.operators.universe import enrich, normalize_listing, normalize_universe
 from updraft.operators.upsert import latest_rows, merge_batch, touched_months
 from updraft.plans import inputs
-from updraft.plans.screening import published_screen, screen
+from updraft.plans.screening import published_screen, screen, screen_recent_first
 from updraft.session import shared_dir
 from updraft.sinks import ledger
 from updraft.sinks.price_store import PriceStore
@@ -82,6 +82,13 @@ def _screen_sliced(prices: DataFrame) -> DataFrame:
     return rank_hits(find_hits(streak_metrics(prices, LOOSE), LOOSE), LOOSE, limit=0)
 
 
+def _screen_recent_first(prices: DataFrame) -> DataFrame:
+    """The screen that shuffles bars before 2001 only where it must."""
+    cut = F.lit(dt.date(2001, 1, 1))
+    recent, older = prices.filter(F.col("date") >= cut), prices.filter(F.col("date") < cut)
+    return screen_recent_first(recent, older, LOOSE)
+
+
 def _enrich_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup where the codes of one market are unknown."""
     hits = screen(inputs.part_month_bars(spark, sf_dir), LOOSE).select("code", "rank")
@@ -263,6 +270,7 @@ QUERIES: dict[str, Query] = {
     "screen_two_tier": _bars(lambda p: screen(p, TWO_TIER)),
     "screen_liquidity": _bars(lambda p: screen(p, LIQUID)),
     "screen_sliced_ranks": _bars(_screen_sliced),
+    "screen_recent_first": _bars(_screen_recent_first),
     "screen_published": _published,
     "lookup_missing": _enrich_partial,
     "data_period": _bars(views.data_period),

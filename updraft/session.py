@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Largest counted table that is sent to every task on request.
+BROADCAST_ROWS = 100_000
 
 
 def build_session(app_name: str = "updraft", **conf: str) -> SparkSession:

@@ -37,9 +37,9 @@ class PriceStore:
         self.staging_path = f"{path}/staging"
         self.log_path = f"{path}/log"
 
-    def read(self, since: dt.date | None = None) -> DataFrame:
+    def read(self, since: dt.date | None = None, before: dt.date | None = None) -> DataFrame:
         try:
-            return read_prices(self.spark, self.prices_path, since)
+            return read_prices(self.spark, self.prices_path, since, before)
         except AnalysisException:
             return empty_prices(self.spark)
 

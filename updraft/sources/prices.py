@@ -26,18 +26,26 @@ def empty_prices(spark: SparkSession) -> DataFrame:
 
 
 def read_prices(
-    spark: SparkSession, path: str, since: dt.date | None = None
+    spark: SparkSession,
+    path: str,
+    since: dt.date | None = None,
+    before: dt.date | None = None,
 ) -> DataFrame:
     """Bars of a store laid out by month (see ``sinks.price_store``).
 
-    ``since`` keeps only newer bars and prunes older months. Leave it out for
-    exact screens of codes that may have stopped trading long ago.
+    ``since`` and ``before`` bound the dates and prune months. A screen of
+    bounded bars misses codes that stopped trading earlier; use
+    ``screen_recent_first`` for exact results without shuffling all history.
     """
     prices = spark.read.schema(STORED_SCHEMA).parquet(path)
     if since is not None:
         prices = prices.filter(
             (F.col("month") >= F.lit(since.replace(day=1))) & (F.col("date") >= F.lit(since))
         )
+    if before is not None:
+        prices = prices.filter(
+            (F.col("month") <= F.lit(before.replace(day=1))) & (F.col("date") < F.lit(before))
+        )
     return prices.select(*PRICE_COLUMNS)
 
 
