@@ -10,7 +10,7 @@ from updraft.sources.prices import PRICE_SCHEMA
 def spark(tmp_path_factory):
     warehouse = tmp_path_factory.mktemp("warehouse")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[8]")
         .appName("updraft-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", str(warehouse))
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )

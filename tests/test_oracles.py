@@ -41,6 +41,9 @@ def test_query_matches_sql(spark, duck, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert canonical(df.collect(), df.columns) == canonical(cursor.fetchall(), columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("Cartesian", "BroadcastNestedLoop", "Python", "Pandas"):
+        assert unwanted not in plan
 
 
 def test_entry(spark):
