@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from updraft.operators import ingest, universe
-from updraft.operators.upsert import latest_rows, merge_batch, touched_months
+from updraft.operators.upsert import latest_rows, merge_batch, touched_periods
 from updraft.sources.universe import read_listing, read_universe
 
 TODAY = dt.date(2026, 6, 24)
@@ -59,7 +59,7 @@ def test_later_rows_win_and_upserts_repeat(spark, prices):
     assert rows_of(once, "code", "volume") == [("A", 5), ("B", 2), ("C", 3)]
     twice = merge_batch(once, batch, "seq")
     assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
-    assert rows_of(touched_months(batch), "month", "rows") == [(dt.date(2026, 3, 1), 3)]
+    assert rows_of(touched_periods(batch), "period", "rows") == [(dt.date(2026, 3, 1), 3)]
 
 
 def test_copies_of_a_hot_key_collapse_before_the_shuffle(spark):

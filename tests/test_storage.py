@@ -34,14 +34,14 @@ def test_store_upserts_by_month(spark, tmp_path):
     assert store.upsert(first, 1, "seq") == [dt.date(2026, 1, 1), dt.date(2026, 2, 1)]
     kept = [("A", "2026-01-30", 1), ("A", "2026-02-02", 3)]
     assert content(store) == kept
-    january = sorted((tmp_path / "prices" / "month=2026-01-01").glob("*.parquet"))
+    january = sorted((tmp_path / "prices" / "period=2026-01-01").glob("*.parquet"))
 
     second = spark.createDataFrame([bar("A", "2026-02-02", 7), bar("B", "2026-02-03", 8)], BATCH)
     assert store.upsert(second, 2, "seq") == [dt.date(2026, 2, 1)]
     final = [("A", "2026-01-30", 1), ("A", "2026-02-02", 7), ("B", "2026-02-03", 8)]
     assert content(store) == final
     # untouched months keep their files
-    assert sorted((tmp_path / "prices" / "month=2026-01-01").glob("*.parquet")) == january
+    assert sorted((tmp_path / "prices" / "period=2026-01-01").glob("*.parquet")) == january
 
     # an old batch arriving again changes nothing
     assert store.upsert(first, 1, "seq") == []
@@ -70,7 +70,19 @@ def test_recent_reads_prune_months(spark, tmp_path):
     recent = read_prices(spark, store.prices_path, dt.date(2026, 5, 10))
     assert recent.columns == PRICE_COLUMNS and recent.count() == 2
     plan = recent._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(month" in plan and "PushedFilters: [IsNotNull(date)" in plan
+    assert "PartitionFilters: [isnotnull(period" in plan and "PushedFilters: [IsNotNull(date)" in plan
+
+
+def test_daily_periods_touch_only_their_days(spark, tmp_path):
+    store = PriceStore(spark, str(tmp_path), unit="day")
+    store.upsert(spark.createDataFrame([bar("A", f"2026-02-0{d}", d) for d in (1, 2, 3)], BATCH), 1, "seq")
+    batch = spark.createDataFrame([bar("A", "2026-02-02", 20), bar("B", "2026-02-02", 21)], BATCH)
+    assert store.upsert(batch, 2, "seq") == [dt.date(2026, 2, 2)]
+    assert [v for _, _, v in content(store)] == [1, 20, 3, 21]
+    assert sorted(r["volume"] for r in store.read(since=dt.date(2026, 2, 2)).collect()) == [3, 20, 21]
+    assert [r["volume"] for r in store.read(before=dt.date(2026, 2, 2)).collect()] == [1]
+    with pytest.raises(ValueError):
+        PriceStore(spark, str(tmp_path / "x"), unit="hour").upsert(batch, 1, "seq")
 
 
 def test_stream_of_quotes_ends_in_the_store(spark, tmp_path):

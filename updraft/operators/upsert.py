@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PERIOD_UNITS = ("month", "day")
+
 
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep the last row of each key by ``order``.
@@ -45,8 +47,15 @@ def merge_batch(
     return latest_rows(both, keys, [F.col("_batch"), F.col("_seq")]).select(*columns)
 
 
-def touched_months(batch: DataFrame) -> DataFrame:
-    """(month, rows) of a batch: the partitions dependents must recompute."""
-    return batch.groupBy(F.trunc("date", "month").alias("month")).agg(
+def period_of(date: Column, unit: str) -> Column:
+    """First day of the ``month`` or ``day`` a date falls into."""
+    if unit not in PERIOD_UNITS:
+        raise ValueError(f"unit must be one of {PERIOD_UNITS}, got {unit!r}")
+    return date if unit == "day" else F.trunc(date, unit)
+
+
+def touched_periods(batch: DataFrame, unit: str = "month") -> DataFrame:
+    """(period, rows) of a batch: the partitions dependents must recompute."""
+    return batch.groupBy(period_of(F.col("date"), unit).alias("period")).agg(
         F.count(F.lit(1)).alias("rows")
     )

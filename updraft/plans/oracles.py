@@ -363,7 +363,7 @@ ORACLES: dict[str, str] = {
     FROM lineitem WHERE l_returnflag <> 'R' AND l_shipdate < DATE '1998-06-15'""",
     "upsert_latest": _newest_quotes("l_linestatus DESC, "),
     "upsert_touched": """
-    SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS rows
+    SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period, count(*) AS rows
     FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1""",
     "stream_upsert": _newest_quotes("", "date < DATE '1998-06-15'"),
     "notify_ledger": """

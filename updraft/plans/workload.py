@@ -20,7 +20,7 @@ from updraft.operators.screening import find_hits, rank_hits
 from updraft.operators.streaks import streak_lengths, streak_metrics
 from updraft.operators.sweep import sweep_metrics, sweep_screen
 from updraft.operators.universe import enrich, normalize_listing, normalize_universe
-from updraft.operators.upsert import latest_rows, merge_batch, touched_months
+from updraft.operators.upsert import latest_rows, merge_batch, touched_periods
 from updraft.plans import inputs
 from updraft.plans.screening import published_screen, screen, screen_recent_first
 from updraft.session import shared_dir
@@ -181,7 +181,7 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = inputs.line_quotes(inputs.table(spark, sf_dir, "lineitem"))
-    return touched_months(quotes.filter("l_linestatus = 'O'"))
+    return touched_periods(quotes.filter("l_linestatus = 'O'"))
 
 
 def _stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Price bars on storage, by month, with a restartable upsert."""
+"""Price bars on storage, by period, with a restartable upsert."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from updraft.operators.upsert import latest_rows, merge_batch, touched_months
+from updraft.operators.upsert import latest_rows, merge_batch, period_of, touched_periods
 from updraft.sources.prices import (
     PRICE_COLUMNS,
     PRICE_SCHEMA,
@@ -21,17 +21,21 @@ _STAGED, _APPLIED = "staged", "applied"
 
 
 class PriceStore:
-    """Parquet bars under ``path/prices/month=...``, one row per (code, date).
+    """Parquet bars under ``path/prices/period=...``, one row per (code, date).
 
-    A batch is merged with the months it touches into ``path/staging``, and
-    only the finished staging rows replace those months. ``path/log`` records
+    A period is a month, or a day where days are large enough to be files of
+    their own: an upsert rewrites the periods it touches and no others.
+
+    A batch is merged with the periods it touches into ``path/staging``, and
+    only the finished staging rows replace those periods. ``path/log`` records
     both steps: a replacement that died half-way is repeated from the staged
     rows before anything else is merged, and an applied batch is not applied
     again. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, unit: str = "month") -> None:
         self.spark = spark
+        self.unit = unit
         path = path.rstrip("/")
         self.prices_path = f"{path}/prices"
         self.staging_path = f"{path}/staging"
@@ -44,10 +48,10 @@ class PriceStore:
             return empty_prices(self.spark)
 
     def upsert(self, batch: DataFrame, batch_id: str | int, sequence: str) -> list[dt.date]:
-        """Apply ``batch`` and return the months it touched.
+        """Apply ``batch`` and return the periods it touched.
 
         Later rows win, inside the batch by ``sequence``. A batch id seen
-        before changes nothing and returns no months.
+        before changes nothing and returns no periods.
         """
         batch_id = str(batch_id)
         for logged, applied in self._open_steps(batch_id):
@@ -55,12 +59,13 @@ class PriceStore:
                 self._apply(logged)
             if logged == batch_id:
                 return []
-        # Months of the calendar, not rows.
-        months = sorted(r["month"] for r in touched_months(batch).select("month").collect())
-        if months:
-            self._stage(batch, batch_id, sequence, months)
+        # Calendar periods, not rows.
+        touched = touched_periods(batch, self.unit).select("period").collect()
+        periods = sorted(r["period"] for r in touched)
+        if periods:
+            self._stage(batch, batch_id, sequence, periods)
             self._apply(batch_id)
-        return months
+        return periods
 
     def _open_steps(self, batch_id: str) -> list[tuple[str, bool]]:
         """(batch, applied) of the unfinished batch and of ``batch_id``, if logged."""
@@ -78,35 +83,35 @@ class PriceStore:
         row.coalesce(1).write.mode("append").parquet(self.log_path)
 
     def _stage(
-        self, batch: DataFrame, batch_id: str, sequence: str, months: list[dt.date]
+        self, batch: DataFrame, batch_id: str, sequence: str, periods: list[dt.date]
     ) -> None:
         newest = latest_rows(
             batch.select(*PRICE_COLUMNS, F.col(sequence).cast("long").alias("_seq")),
             ["code", "date"], [F.col("_seq")],
         )
-        merged = merge_batch(self._stored(months), newest, "_seq")
+        merged = merge_batch(self._stored(periods), newest, "_seq")
         merged.write.mode("overwrite").parquet(self.staging_path)
         self._record(batch_id, _STAGED)
 
-    def _stored(self, months: list[dt.date]) -> DataFrame:
-        """Stored bars of the given months; other partitions are not read."""
+    def _stored(self, periods: list[dt.date]) -> DataFrame:
+        """Stored bars of the given periods; other partitions are not read."""
         try:
             table = self.spark.read.schema(STORED_SCHEMA).parquet(
                 self.prices_path
             )
         except AnalysisException:
             return empty_prices(self.spark)
-        return table.filter(F.col("month").isin(months)).select(*PRICE_COLUMNS)
+        return table.filter(F.col("period").isin(periods)).select(*PRICE_COLUMNS)
 
     def _apply(self, batch_id: str) -> None:
-        """Swap whole months; rebalancing evens out files and splits hot months."""
+        """Swap whole periods; rebalancing evens out files and splits hot periods."""
         staged = self.spark.read.schema(PRICE_SCHEMA).parquet(self.staging_path)
         (
-            staged.withColumn("month", F.trunc("date", "month"))
-            .hint("rebalance", F.col("month"))
-            .sortWithinPartitions("month", "code", "date")
+            staged.withColumn("period", period_of(F.col("date"), self.unit))
+            .hint("rebalance", F.col("period"))
+            .sortWithinPartitions("period", "code", "date")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("month").parquet(self.prices_path)
+            .partitionBy("period").parquet(self.prices_path)
         )
         self._record(batch_id, _APPLIED)

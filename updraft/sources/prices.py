@@ -18,7 +18,7 @@ PRICE_SCHEMA = T.StructType(
     ]
 )
 PRICE_COLUMNS = PRICE_SCHEMA.fieldNames()
-STORED_SCHEMA = T.StructType([*PRICE_SCHEMA.fields, T.StructField("month", T.DateType())])
+STORED_SCHEMA = T.StructType([*PRICE_SCHEMA.fields, T.StructField("period", T.DateType())])
 
 
 def empty_prices(spark: SparkSession) -> DataFrame:
@@ -31,21 +31,21 @@ def read_prices(
     since: dt.date | None = None,
     before: dt.date | None = None,
 ) -> DataFrame:
-    """Bars of a store laid out by month (see ``sinks.price_store``).
+    """Bars of a store laid out by period (see ``sinks.price_store``).
 
-    ``since`` and ``before`` bound the dates and prune months. A screen of
+    ``since`` and ``before`` bound the dates and prune periods. A screen of
     bounded bars misses codes that stopped trading earlier; use
     ``screen_recent_first`` for exact results without shuffling all history.
     """
     prices = spark.read.schema(STORED_SCHEMA).parquet(path)
     if since is not None:
+        # A period starts less than a month before any of its dates.
+        earliest = since - dt.timedelta(days=31)
         prices = prices.filter(
-            (F.col("month") >= F.lit(since.replace(day=1))) & (F.col("date") >= F.lit(since))
+            (F.col("period") > F.lit(earliest)) & (F.col("date") >= F.lit(since))
         )
     if before is not None:
-        prices = prices.filter(
-            (F.col("month") <= F.lit(before.replace(day=1))) & (F.col("date") < F.lit(before))
-        )
+        prices = prices.filter((F.col("period") < F.lit(before)) & (F.col("date") < F.lit(before)))
     return prices.select(*PRICE_COLUMNS)
 
 

@@ -25,15 +25,15 @@ def ingest_stream(
     Quotes carry ``code, date, open, close, volume`` and a ``sequence`` column.
     The stream keeps no state: a late correction is just another upsert of its
     key. Batches are named by query id and number, so one replayed after a
-    failure is applied once. ``on_batch`` receives the touched months.
+    failure is applied once. ``on_batch`` receives the touched periods.
     """
     cleaned = clean_quotes(quotes, now)
 
     def apply(batch: DataFrame, batch_number: int) -> None:
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        months = store.upsert(batch, f"{query}-{batch_number}", sequence)
+        periods = store.upsert(batch, f"{query}-{batch_number}", sequence)
         if on_batch is not None:
-            on_batch(months)
+            on_batch(periods)
 
     return (
         cleaned.writeStream.foreachBatch(apply)
