@@ -169,6 +169,15 @@ _NOTIFY = """
            || '📊 出来高: **' || printf('%.1f', avg_ratio) || '倍** (平均)' AS body
   FROM published WHERE rank <= 20"""
 
+_PAYLOAD = f""", notice AS ({_NOTIFY})
+  SELECT '{{"embeds":[{{"title":"📈 連騰・出来高ランキング (上位20銘柄)","description":'
+           || '"**抽出日時**: 2001-11-12 22:00\\n**該当銘柄数**: '
+           || (SELECT count(*) FROM published) || ' 件","fields":['
+           || string_agg('{{"name":"' || title || '","value":"' || replace(body, chr(10), '\\n')
+                         || '","inline":false}}', ',' ORDER BY rank)
+           || ']}}]}}' AS payload
+  FROM notice"""
+
 # Sweep: every bar's own streak start is the latest earlier bar that was not up.
 _SWEEP_STARTS = """
   numbered AS (
@@ -348,6 +357,7 @@ ORACLES: dict[str, str] = {
     ),
     "results_csv": _published(w.LOOSE, "SELECT * FROM published"),
     "notify_top20": _published(w.LOOSE, _NOTIFY),
+    "notify_payload": _published(w.LOOSE, _PAYLOAD),
     "universe_normalize": _UNIVERSE,
     "universe_csv": _UNIVERSE,
     "listing_normalize": """
