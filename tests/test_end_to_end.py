@@ -53,7 +53,9 @@ def test_nightly_run_sends_once_per_metric(spark, tmp_path):
     assert run(evening, force=True).notified
     assert len(sent) == 4 and len(sent[1]["embeds"][0]["fields"]) == 2
 
-    late = run(dt.datetime(2026, 1, 23, 20, 0))
+    late = run(dt.datetime(2026, 1, 23, 20, 0), lookback_days=7)
+    assert late.published.drop("name").exceptAll(first.published.drop("name")).count() == 0
+    assert late.published.count() == 2
     assert not late.is_current and "2026-01-23" in late.header.first()["stale_note"]
     csv = spark.read.csv(f"{out}/screen_result.csv", header=True)
     assert csv.count() == 2

@@ -13,7 +13,8 @@ from updraft.config import ScreenConfig
 from updraft.operators import views
 from updraft.operators.freshness import with_stale_flags
 from updraft.operators.ingest import clean_quotes
-from updraft.plans.screening import published_screen
+from updraft.operators.universe import publish
+from updraft.plans.screening import screen, screen_recent_first
 from updraft.session import materialize
 from updraft.sinks import ledger, results
 from updraft.sinks.price_store import PriceStore
@@ -41,11 +42,15 @@ def run_nightly(
     quotes: DataFrame | None = None,
     batch_id: str | None = None,
     sequence: str = "seq",
+    lookback_days: int | None = None,
     send: Callable[[str], bool] | None = None,
     force: bool = False,
 ) -> NightlyRun:
     """Ingest ``quotes`` if given, screen the stored bars, write the results.
 
+    With ``lookback_days`` bars older than that are shuffled only for codes
+    that need them; results are the same.
+
     ``send`` gets the notification as JSON and tells whether it was delivered;
     it is called once per metric and data date unless forced, and only a
     delivered notification is recorded. ``is_current`` says whether jobs that
@@ -57,7 +62,12 @@ def run_nightly(
         store.upsert(clean_quotes(quotes, now), batch_id or now.isoformat(), sequence)
 
     prices = store.read()
-    published = materialize(published_screen(prices, universe, cfg, name_fallback=False))
+    if lookback_days is None:
+        hits = screen(prices, cfg)
+    else:
+        cut = now.date() - dt.timedelta(days=lookback_days)
+        hits = screen_recent_first(store.read(since=cut), store.read(before=cut), cfg)
+    published = materialize(publish(hits, universe, name_fallback=False).orderBy("rank"))
     header = materialize(views.report_header(published, prices, cfg, now.date()))
     report = views.report_rows(published, cfg)
 

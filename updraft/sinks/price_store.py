@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from updraft.operators.upsert import latest_rows, merge_batch, period_of, touched_periods
+from updraft.operators.upsert import merge_batch, period_of, touched_periods
 from updraft.sources.prices import (
     PRICE_COLUMNS,
     PRICE_SCHEMA,
@@ -85,11 +85,7 @@ class PriceStore:
     def _stage(
         self, batch: DataFrame, batch_id: str, sequence: str, periods: list[dt.date]
     ) -> None:
-        newest = latest_rows(
-            batch.select(*PRICE_COLUMNS, F.col(sequence).cast("long").alias("_seq")),
-            ["code", "date"], [F.col("_seq")],
-        )
-        merged = merge_batch(self._stored(periods), newest, "_seq")
+        merged = merge_batch(self._stored(periods), batch, sequence)
         merged.write.mode("overwrite").parquet(self.staging_path)
         self._record(batch_id, _STAGED)
 
