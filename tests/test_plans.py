@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from updraft.operators import freshness, themes
-from updraft.operators.streaks import streak_lengths, streak_metrics
+from updraft.operators.streaks import recent_first_metrics, streak_lengths, streak_metrics
 from updraft.operators.sweep import sweep_metrics
 from updraft.plans import inputs
 from updraft.plans.workload import LOOSE, QUERIES
@@ -62,3 +62,16 @@ def test_narrow_operators_do_not_shuffle(spark):
 def test_scaling_reads_bounds_as_a_scalar(spark):
     plan = plan_of(themes.with_confidence_width(inputs.theme_reports(spark, SF)))
     assert "Subquery" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_recent_first_filters_older_bars_before_the_shuffle(stored):
+    cut = F.lit("2001-06-01").cast("date")
+    metrics = recent_first_metrics(
+        stored.filter(F.col("date") >= cut), stored.filter(F.col("date") < cut), LOOSE
+    )
+    lines = plan_of(metrics).split("\n")
+    semi = [i for i, line in enumerate(lines) if "BroadcastHashJoin" in line and "LeftSemi" in line]
+    shuffle = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(code" in line]
+    assert len(shuffle) == 1 and semi and min(semi) > shuffle[0]
+    older = [line for line in lines if "LessThan(date,2001-06-01)" in line]
+    assert older  # the date bound reaches the scan

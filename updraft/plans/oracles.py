@@ -108,7 +108,7 @@ def _ranked(cfg: ScreenConfig, metrics: str = "metrics", by: str = "") -> str:
               * CASE WHEN streak_len < {cfg.streak_top} THEN {low} ELSE {high} END))"""
 
 
-def _screen(bars: str, cfg: ScreenConfig, before: str = "", after: str = "") -> str:
+def screen_sql(bars: str, cfg: ScreenConfig, before: str = "", after: str = "") -> str:
     """The whole screen; ``after`` replaces the final SELECT over ``hits``."""
     return f"""WITH {before}bars AS ({bars}), {_metrics_ctes(cfg)},
   hits AS ({_ranked(cfg)})
@@ -116,7 +116,7 @@ def _screen(bars: str, cfg: ScreenConfig, before: str = "", after: str = "") ->
 
 
 def _published(cfg: ScreenConfig, after: str) -> str:
-    return _screen(
+    return screen_sql(
         PART_MONTH, cfg, before=f"universe AS ({PART_UNIVERSE}), ",
         after=f""", published AS (
     SELECT rank, code, coalesce(name, code) AS name, coalesce(market, '') AS market, streak_len,
@@ -231,7 +231,7 @@ def _sweep_carried(bars: str, cfg: ScreenConfig) -> str:
 
 def _grid() -> str:
     parts = [
-        f"SELECT '{name}' AS config, * FROM ({_screen(PART_MONTH, cfg)})"
+        f"SELECT '{name}' AS config, * FROM ({screen_sql(PART_MONTH, cfg)})"
         for name, cfg in w.GRID.items()
     ]
     return " UNION ALL ".join(parts)
@@ -312,16 +312,16 @@ ORACLES: dict[str, str] = {
   SELECT code, newest - stop AS streak_len FROM anchor""",
     "streak_metrics": f"""WITH bars AS ({PART_MONTH}), {_metrics_ctes(w.LOOSE)}
   SELECT * FROM metrics""",
-    "screen_volume_all": _screen(PART_MONTH, w.LOOSE),
-    "screen_volume_avg": _screen(SUPPLIER_WEEK, w.LOOSE_AVG),
-    "screen_turnover_all": _screen(PART_MONTH, w.TURNOVER),
-    "screen_turnover_avg": _screen(SUPPLIER_WEEK, w.TURNOVER_AVG),
-    "screen_two_tier": _screen(PART_MONTH, w.TWO_TIER),
-    "screen_liquidity": _screen(PART_MONTH, w.LIQUID),
-    "screen_sliced_ranks": _screen(PART_MONTH, w.LOOSE),
-    "screen_recent_first": _screen(PART_MONTH, w.LOOSE),
+    "screen_volume_all": screen_sql(PART_MONTH, w.LOOSE),
+    "screen_volume_avg": screen_sql(SUPPLIER_WEEK, w.LOOSE_AVG),
+    "screen_turnover_all": screen_sql(PART_MONTH, w.TURNOVER),
+    "screen_turnover_avg": screen_sql(SUPPLIER_WEEK, w.TURNOVER_AVG),
+    "screen_two_tier": screen_sql(PART_MONTH, w.TWO_TIER),
+    "screen_liquidity": screen_sql(PART_MONTH, w.LIQUID),
+    "screen_sliced_ranks": screen_sql(PART_MONTH, w.LOOSE),
+    "screen_recent_first": screen_sql(PART_MONTH, w.LOOSE),
     "screen_published": _published(w.LOOSE, "SELECT * FROM published"),
-    "lookup_missing": _screen(
+    "lookup_missing": screen_sql(
         PART_MONTH, w.LOOSE, before=_HITS_NAMED,
         after="""SELECT code, rank, coalesce(name, code) AS name_or_code, name,
     coalesce(market, '') AS market FROM hits LEFT JOIN universe USING (code)""",
@@ -329,7 +329,7 @@ ORACLES: dict[str, str] = {
     "data_period": f"""SELECT min(date) AS "from", max(date) AS "to",
     count(DISTINCT code) AS codes FROM ({PART_MONTH})""",
     "row_count": f"SELECT count(*) AS rows FROM ({PART_MONTH})",
-    "tier_counts": _screen(
+    "tier_counts": screen_sql(
         PART_MONTH, w.LOOSE,
         after="SELECT t.tier, count(code) AS hits FROM (VALUES (1), (2)) t(tier) "
         "LEFT JOIN hits USING (tier) GROUP BY t.tier",
@@ -342,7 +342,7 @@ ORACLES: dict[str, str] = {
     "view_sort_rise": _published(w.LOOSE, "SELECT * FROM published ORDER BY rise_pct DESC, rank"),
     "report_rows": _report(w.LOOSE),
     "report_rows_turnover": _report(w.TURNOVER),
-    "report_header": _screen(
+    "report_header": screen_sql(
         PART_MONTH, w.LOOSE,
         after="""SELECT count(*) AS hits, count(*) FILTER (tier = 1) AS tier1,
     count(*) FILTER (tier = 2) AS tier2,
