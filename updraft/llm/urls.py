@@ -28,11 +28,14 @@ PAGE_RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-STRICT_TERMS = ("porn", "xxx", "casino", "viagra", "cialis", "escort", "hentai", "warez", "payday loan")
+STRICT_TERMS = (
+    "adult", "casino", "casinos", "cialis", "escort", "escorts", "hentai", "malware", "phishing", "porn", "porno",
+    "spam", "viagra", "warez", "xxx",
+)
 SOFT_TERMS = (
-    "adult", "bet", "bonus", "cheap", "click", "coupon", "crack", "dating", "deal", "download",
-    "feed", "free", "jackpot", "keygen", "loan", "pills", "poker", "ref", "sex", "torrent",
-    "utm_source", "win",
+    "ad", "ads", "banner", "bet", "bets", "bonus", "cheap", "click", "coupon", "crack", "dating", "deals", "farm",
+    "free", "jackpot", "keygen", "loan", "loans", "payday", "pill", "pills", "poker", "popup", "promo", "sex",
+    "slots", "torrent", "track", "tracker", "tracking", "win",
 )
 SOFT_LIMIT = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
