@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 PERIOD = 1000
 BLOCK_UNITS = 100_000
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 LAST = (1 << 63) - 1
 
 
