@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-GENERATION = 400_000
-GROUP_BYTES = 4 << 20
+GENERATION = 200_000
+GROUP_BYTES = 2 << 20
 JOINED = 256
 MARK = "\x1f"
 ANY_SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
