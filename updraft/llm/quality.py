@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from updraft.llm.words import powers
 
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 BITS = 18
 DIMENSIONS = 12
 GRAMS = (2, 3, 4)
