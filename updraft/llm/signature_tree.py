@@ -72,7 +72,7 @@ class SignatureTree:
         self.bits = np.packbits(flat, axis=1).view(np.uint64)
         self.held = np.bincount(owner, minlength=len(sets))
         # Tokens of a set beyond its bits: what a bitmap overlap may miss.
-        self.slack = self.held - flat.sum(axis=1)
+        self.slack = self.held - flat.sum(axis=1, dtype=np.int64)
         self.root = self.build(0, len(sets))
 
     def build(self, first: int, last: int) -> Node:
