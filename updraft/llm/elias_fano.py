@@ -177,8 +177,9 @@ class Trie:
             out[asked[equal]] = place[equal]
         return out
 
-    def log10(self, order: int, at: np.ndarray) -> np.ndarray:
-        return -self.levels[order - 1][2][at].astype(np.float64) * QUANTUM
+    def quanta(self, order: int, at: np.ndarray) -> np.ndarray:
+        """Negative log10 probabilities in steps of QUANTUM."""
+        return self.levels[order - 1][2][at].astype(np.int64)
 
     def to_bytes(self) -> bytes:
         parts = [struct.pack("<qq", self.vocabulary, len(self.levels))]

@@ -13,7 +13,8 @@ holds the occurrences of one shard: from the training ones it builds the shard's
 looks up each distinct bigram of all texts in it. What moves grows with the text, as packed
 columns of occurrences, and a shard holds about ``shard_tokens`` of them.
 
-Scores are sums of log10 probabilities, quantised to 1/2048 in the trie. NULL and empty
+Scores are sums of log10 probabilities, each quantised to 1/2048, so they do not depend on the
+sharding. NULL and empty
 texts hold the end token alone. Rows keep their number: equal rows share one
 score. Without training texts p(w) is that of an unknown word. Extra columns are not read.
 """
@@ -29,20 +30,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from updraft.llm.elias_fano import Trie
+from updraft.llm.elias_fano import QUANTUM, Trie, quantised
 from updraft.llm.tables import stored
 from updraft.llm.words import mix, scan
 
 DICTIONARY = 1 << 18
-SHARD_TOKENS = 2_500_000
-GATHERED = 2_000_000
+SHARD_TOKENS = 4_000_000
+GATHERED = 1_000_000
 MU = 4.0
 OTHER, END, FIRST = 0, 1, 2
 U64 = np.uint64
 COUNTS = "h long, c long"
 TEXTS = "key long, n_tokens long, known long, base double, other array<long>"
 BLOBS = "shard long, blob binary"
-SUMS = "key long, log10 double"
+PARTIAL = "bucket long, sums binary"
+SUMS = "key long, quanta long"
 
 
 @dataclass
@@ -234,33 +236,56 @@ def shard_trie(before: np.ndarray, word: np.ndarray, counts: np.ndarray, words:
     ).mapped()
 
 
-def score_shard(words: Dictionary) -> Callable[[pa.Table], pa.Table]:
-    """For each text of a shard's occurrences, the sum of their log10 probabilities."""
+def score_shard(words: Dictionary, buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """For each text of a shard's occurrences the sum of their log10 probabilities, packed by buckets of texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        pieces = [unpack_occurrences(blob) for blob in table["blob"].to_pylist()]
-        shift = np.cumsum([0, *(len(p[0]) for p in pieces)])
-        keys, training = (np.concatenate([p[i] for p in pieces]) for i in (0, 1))
-        text = np.concatenate([p[2] + s for p, s in zip(pieces, shift)])
-        bigram = np.concatenate([p[3] * words.size + p[4] for p in pieces])
-        del pieces
-        distinct, which = np.unique(bigram, return_inverse=True)
-        seen = np.bincount(which, weights=training[text], minlength=len(distinct)).astype(np.int64)
-        before, word = np.divmod(distinct, words.size)
-        learned = seen > 0
+        keys, training, text, bigram, shift = [], [], [], [], 0
+        for blob in table["blob"]:
+            own, learned, local, before, word = unpack_occurrences(blob.as_py())
+            keys.append(own)
+            training.append(learned)
+            text.append((local + shift).astype(np.int32))
+            bigram.append(before * words.size + word)
+            shift += len(own)
+        keys, training, text, bigram = (np.concatenate(x) for x in (keys, training, text, bigram))
+        order = np.argsort(bigram)
+        bigram, text = bigram[order], text[order]
+        del order
+        fresh = np.flatnonzero(np.diff(bigram, prepend=-1))
+        before, word = np.divmod(bigram[fresh], words.size)
+        sizes = np.diff(np.append(fresh, len(bigram)))
+        del bigram
+        seen = np.add.reduceat(training[text], fresh, dtype=np.int64)
         # Without a bigram's count the model falls back to the context's share of the unigram.
-        log10 = np.log10(MU * words.unigram()[word] / (words.counts[before] + MU))
+        quanta = quantised(np.log10(MU * words.unigram()[word] / (words.counts[before] + MU))).astype(np.int64)
+        learned = seen > 0
         if learned.any():
             trie = shard_trie(before[learned], word[learned], seen[learned], words)
             contexts, each = np.unique(before, return_inverse=True)
             at = trie.child(1, trie.child(0, np.zeros(len(contexts), np.int64), contexts)[each], word)
-            log10[at >= 0] = trie.log10(2, at[at >= 0])
-        sums = np.bincount(text, weights=log10[which], minlength=len(keys))
-        return pa.table({"key": pa.array(keys), "log10": pa.array(sums)})
+            quanta[at >= 0] = trie.quanta(2, at[at >= 0])
+        sums = np.bincount(text, weights=np.repeat(quanta, sizes), minlength=len(keys)).astype(np.int64)
+        bucket = (mix(keys.view(U64)) % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+        return pa.table({
+            "bucket": pa.array([bucket[p[0]] for p in parts], pa.int64()),
+            "sums": pa.array([keys[p].tobytes() + sums[p].tobytes() for p in parts], pa.binary()),
+        })
 
     return run
 
 
+def add_up(table: pa.Table) -> pa.Table:
+    """The sums of each text of a bucket over all shards, in quanta."""
+    halves = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table["sums"].to_pylist()]
+    keys, sums = np.concatenate(halves, axis=1)
+    order = np.argsort(keys)
+    first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - 1))
+    return pa.table({"key": keys[order][first], "quanta": np.add.reduceat(sums[order], first)})
+
+
 def score(
     docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "text",
     dictionary: int = DICTIONARY, shard_tokens: int = SHARD_TOKENS,
@@ -282,7 +307,8 @@ def score(
 
     texts = stored(rows.select("key", "text").mapInArrow(text_rows(words), TEXTS), "texts")
     blobs = rows.select("key", "text", "training").mapInArrow(occurrence_blobs(words, shards), BLOBS)
-    sums = blobs.groupBy("shard").applyInArrow(score_shard(words), SUMS)
+    partial = blobs.groupBy("shard").applyInArrow(score_shard(words, shards), PARTIAL)
+    sums = partial.groupBy("bucket").applyInArrow(add_up, SUMS).select("key", (F.col("quanta") * -QUANTUM).alias("log10"))
 
     # Words outside the dictionary: their share of the class, by their count.
     denominator = words.tokens + 0.5 * (words.types + 1)
