@@ -36,6 +36,7 @@ BITS = 18
 DIMENSIONS = 12
 GRAMS = (2, 3, 4)
 EPOCHS = 6
+LEAST_VISITS = 12_000
 STEP = 0.5
 BATCH = 16
 ACCEPT = 0.7
@@ -127,6 +128,8 @@ def train(
     layer = rng.uniform(-0.1, 0.1, (dimensions, 2)).astype(np.float32)
     bias = np.log(np.array([len(rows) - positive, positive], np.float32) / len(rows))
     shares = [c / max(c.sum(), 1) for _, c, _ in rows]
+    # Few rows are gone through more often.
+    epochs = max(epochs, -(-LEAST_VISITS // len(rows)))
     total, done = epochs * len(rows), 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
