@@ -38,7 +38,7 @@ from updraft.llm.words import mix, scan, shingle_set
 
 WORDS = 5
 PERCENT = 80
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 BROADCAST_ROWS = 1_000_000
 PIVOTS = 8
 U64 = np.uint64
@@ -59,7 +59,7 @@ def sketches(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, h1, h2, prefix = [], [], [], []
-            for _, counts, hashes in scan(batch.column(1).to_pylist()):
+            for _, counts, hashes in scan(batch.column(1)):
                 for own in np.split(hashes, np.cumsum(counts)[:-1]):
                     found = shingle_set(own, words)
                     size.append(len(found))
@@ -102,7 +102,7 @@ def join_task(words: int, percent: int) -> Callable[[pa.Table], pa.Table]:
         table = table.combine_chunks()
         cluster, ids, given = (table[c].to_numpy() for c in ("cluster", "id", "label"))
         sets = []
-        for _, counts, hashes in scan(table["text"].to_pylist()):
+        for _, counts, hashes in scan(table["text"]):
             sets.extend(shingle_set(own, words) for own in np.split(hashes, np.cumsum(counts)[:-1]))
         a, b = [], []
         order = np.argsort(cluster, kind="stable")

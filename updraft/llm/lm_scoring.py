@@ -85,7 +85,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], names=["h", "c"])
 
     for batch in batches:
-        for _, _, hashes in scan(batch.column(0).to_pylist()):
+        for _, _, hashes in scan(batch.column(0)):
             held.append(hashes)
             if sum(map(len, held)) > GATHERED:
                 yield counted()
@@ -125,7 +125,7 @@ def text_rows(words: Dictionary) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in batches:
             n = batch.num_rows
             tokens, known, base, other = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), []
-            for first, counts, hashes in scan(batch.column(1).to_pylist()):
+            for first, counts, hashes in scan(batch.column(1)):
                 numbers = words.number(hashes)
                 inside = numbers != OTHER
                 here = np.repeat(np.arange(len(counts)), counts)
@@ -213,7 +213,7 @@ def occurrence_blobs(words: Dictionary, shards: int) -> Callable[[Iterator[pa.Re
         for batch in batches:
             keys = batch.column(0).to_numpy()
             training = batch.column(2).to_numpy(zero_copy_only=False)
-            for first, counts, hashes in scan(batch.column(1).to_pylist()):
+            for first, counts, hashes in scan(batch.column(1)):
                 part = slice(first, first + len(counts))
                 held.append((keys[part], training[part], counts, words.number(hashes)))
                 size += len(hashes) + len(counts)

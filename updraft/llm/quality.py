@@ -40,7 +40,7 @@ LEAST_VISITS = 12_000
 STEP = 0.5
 BATCH = 16
 ACCEPT = 0.7
-PIECE = 1 << 19
+PIECE = 1 << 18
 U64 = np.uint64
 SPREAD = U64(0x9E3779B97F4A7C15)
 REPEAT = U64(0xC2B2AE3D27D4EB4F)

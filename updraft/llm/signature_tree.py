@@ -21,6 +21,7 @@ import numpy as np
 LEAF = 16
 FANOUT = 4
 MOST_BITS = 1 << 13
+MOST_CELLS = 1 << 24
 
 
 def least_overlap(total: np.ndarray, percent: int) -> np.ndarray:
@@ -62,7 +63,8 @@ class SignatureTree:
         _, index, counts = np.unique(tokens, return_inverse=True, return_counts=True)
         shared = counts > 1
         number = np.cumsum(shared) - 1
-        width = int(min(max(64, shared.sum()), MOST_BITS))
+        # Many sets make do with fewer bits each, so the bitmaps stay within MOST_CELLS.
+        width = int(min(max(64, shared.sum()), MOST_BITS, max(64, MOST_CELLS // max(1, len(sets)))))
         width = -(-width // 64) * 64
         self.exact = int(shared.sum()) <= width
         keep = shared[index]

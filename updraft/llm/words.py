@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 STEP = U64(0xD6E8FEB86659FD93)
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
+ROWS = 512
 LOWER = bytes(range(256)).lower()
 GAP = np.zeros(256, dtype=bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,15 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n; kept up to twice GROUP_BYTES."""
+    """BASE**i and BASE**-i modulo 2**64 for i below n; kept up to about twice GROUP_BYTES."""
     up, down = _powers["up"], _powers["down"]
     if len(up) < n:
-        size = max(n, GROUP_BYTES + 1)
+        size = max(n, 2 * GROUP_BYTES + 2)
         up, down = np.full(size, BASE, U64), np.full(size, INVERSE, U64)
         up[0] = down[0] = 1
         np.multiply.accumulate(up, out=up)
         np.multiply.accumulate(down, out=down)
-        if size <= 2 * GROUP_BYTES:
+        if size <= 2 * GROUP_BYTES + 2:
             _powers.update(up=up, down=down)
     return up[:n], down[:n]
 
@@ -76,32 +78,34 @@ def cuts(data: bytes, most: int) -> Iterator[bytes]:
     yield data[at:]
 
 
-def grouped(texts: Sequence[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that together hold about GROUP_BYTES."""
-    first, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or b"") + 1
-        if size >= GROUP_BYTES:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
-def scan(texts: Sequence[bytes | None], fold: bytes = LOWER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def scan(texts: pa.Array | Sequence[bytes | None], fold: bytes = LOWER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each range of texts: its first index, the words in each text, all word hashes in order.
 
-    ``fold`` is a translation table applied to the bytes first.
+    ``fold`` is a translation table applied to the bytes first. A range holds about
+    GROUP_BYTES; an Arrow array is turned into bytes a few rows at a time.
     """
-    for first, last in grouped(texts):
-        part = [(t or b"").translate(fold) for t in texts[first:last]]
-        if len(part) == 1 and len(part[0]) > GROUP_BYTES:
-            hashes = np.concatenate([buffer_hashes(x)[1] for x in cuts(part[0], GROUP_BYTES)])
-            yield first, np.array([len(hashes)]), hashes
-            continue
-        begin = np.cumsum([0, *(len(t) + 1 for t in part)])
-        start, hashes = buffer_hashes(b"\n".join(part))
-        yield first, np.diff(np.searchsorted(start, begin)), hashes
+    part: list[bytes] = []
+    first, size = 0, 0
+    for at in range(0, len(texts), ROWS):
+        rows = texts[at : at + ROWS]
+        for text in rows.to_pylist() if isinstance(rows, (pa.Array, pa.ChunkedArray)) else rows:
+            part.append((text or b"").translate(fold))
+            size += len(part[-1]) + 1
+            if size >= GROUP_BYTES:
+                yield first, *words_of(part)
+                first, part, size = first + len(part), [], 0
+    if part:
+        yield first, *words_of(part)
+
+
+def words_of(part: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words in each text and all their hashes; a long text is scanned between its words in pieces."""
+    if sum(map(len, part)) > 2 * GROUP_BYTES:
+        each = [np.concatenate([buffer_hashes(x)[1] for x in cuts(t, GROUP_BYTES)]) for t in part]
+        return np.array([len(h) for h in each]), np.concatenate(each)
+    begin = np.cumsum([0, *(len(t) + 1 for t in part)])
+    start, hashes = buffer_hashes(b"\n".join(part))
+    return np.diff(np.searchsorted(start, begin)), hashes
 
 
 def sequences(hashes: np.ndarray, k: int) -> np.ndarray:
