@@ -143,13 +143,12 @@ def leaks(
     return found.withColumn("containment", F.col("matched") / F.col("n_shingles"))
 
 
-def without_matches(block: ItemBlock) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def without_matches(block: ItemBlock, text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, dtype=bool)
-            keep[[doc for doc, *_ in block.matches(batch.column(0).to_pylist())]] = False
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays(kept.columns[1:], names=kept.schema.names[1:])
+            keep[[doc for doc, *_ in block.matches(batch.column(text).cast(pa.binary()).to_pylist())]] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -161,8 +160,6 @@ def clean(
     """The rows of ``docs`` that hold no item, with their own columns only."""
     names = docs.columns
     kept = docs.toDF(*(f"_c{i}" for i in range(len(names))))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
     for block in blocks(items, item_id, item_text, block_bytes):
-        searched = kept.select(F.col(f"_c{names.index(text)}").cast("binary").alias("_text"), "*")
-        kept = searched.mapInArrow(without_matches(ItemBlock(block, threshold, words)), fields)
+        kept = kept.mapInArrow(without_matches(ItemBlock(block, threshold, words), names.index(text)), kept.schema)
     return kept.toDF(*names)

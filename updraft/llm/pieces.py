@@ -63,6 +63,10 @@ class PieceEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def forget(self) -> None:
+        """Empties the cache, so that an idle worker holds no more than the vocabulary."""
+        self.young, self.old = {}, {}
+
     def whole(self, texts: list[str], by: str = "tokenizer") -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype="<u4") for e in getattr(self, by).encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from updraft.llm.words import powers
 
-TRAIN_ROWS = 4000
-BITS = 18
+TRAIN_ROWS = 3000
+BITS = 17
 DIMENSIONS = 12
 GRAMS = (2, 3, 4)
 EPOCHS = 6
@@ -200,8 +200,8 @@ def group_sums(texts: list[str], weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_rows(weight: np.ndarray, bias: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Takes the text as first column away and puts the score last."""
+def score_rows(weight: np.ndarray, bias: float, text: int, least: float | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replaces the text, column number ``text``, by its score; with ``least``, gives the rows that reach it instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(weight, bias)
@@ -215,16 +215,19 @@ def score_rows(weight: np.ndarray, bias: float) -> Callable[[Iterator[pa.RecordB
                     group.clear()
 
             size = 0
-            for i, text in enumerate(batch.column(0)):
-                for piece in pieces(text.as_py() or ""):
+            for i, body in enumerate(batch.column(text)):
+                for piece in pieces(body.as_py() or ""):
                     group.append((i, piece))
                     size += len(piece) + 2
                     if size >= PIECE:
                         flush()
                         size = 0
             flush()
-            score = pa.array(model.probability(*out), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], names=[*batch.schema.names[1:], "score"])
+            score = model.probability(*out)
+            if least is None:
+                yield batch.set_column(text, "score", pa.array(score, pa.float64()))
+            else:
+                yield batch.filter(pa.array(score >= least))
 
     return run
 
@@ -237,15 +240,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, **settings) -> Model
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score): the probability of label 1 for every row of ``docs``."""
-    kept = docs.select(F.col(text).cast("string").alias("_text"), F.col(id).cast("long").alias(id))
-    return kept.mapInArrow(score_rows(model.weight, model.bias), f"`{id}` long, score double")
+    kept = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("score"))
+    return kept.mapInArrow(score_rows(model.weight, model.bias, 1), "_id long, score double").select(F.col("_id").alias(id), "score")
 
 
 def accept(docs: DataFrame, model: Model, text: str = "text", least: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, with their own columns only."""
     names = docs.columns
     packed = docs.toDF(*(f"_c{i}" for i in range(len(names))))
-    kept = packed.select(F.col(f"_c{names.index(text)}").cast("string").alias("_text"), *packed.columns)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema.fields)
-    scored = kept.mapInArrow(score_rows(model.weight, model.bias), f"{fields}, score double")
-    return scored.where(F.col("score") >= least).drop("score").toDF(*names)
+    return packed.mapInArrow(score_rows(model.weight, model.bias, names.index(text), least), packed.schema).toDF(*names)

@@ -118,6 +118,7 @@ def make_shards(tokenizer: str, end_id: int, shard_bytes: int) -> Callable[[Iter
                     shard = Shard(wide)
         if len(shard):
             yield closed()
+        encoder.forget()
 
     return run
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from updraft.session import shared_dir
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = "2000"
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,8 +45,14 @@ def crc32_of_id(column: str) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors' Python, once a session, wherever it was started from."""
+    """Hands this package to the executors' Python, once a session, wherever it was started from.
+
+    Where Arrow batches have their default size of 10,000 rows, they are set to BATCH_ROWS:
+    texts are long, and a batch is held several times on its way.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     if getattr(context, "_updraft_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]

@@ -35,6 +35,7 @@ def encode_rows(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         for batch in batches:
             ids = [x.astype("<u2").tobytes() for x in encoder.encode(batch.column(0))]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
+        encoder.forget()
 
     return run
 
