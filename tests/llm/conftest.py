@@ -1,5 +1,5 @@
 import pytest
-from odd_rows import ODD_DOCS, SCHEMA
+from .odd_rows import ODD_DOCS, SCHEMA
 
 from updraft.llm.tables import ship
 

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from odd_rows import ODD_DOCS
+from .odd_rows import ODD_DOCS
 from pyspark.sql import functions as F
 
 from updraft.llm import mixing, pieces, seekable, token_files
