@@ -7,10 +7,12 @@ from conftest import by_code, series
 from pyspark.sql import functions as F
 
 from updraft import ScreenConfig, published_screen, screen
+from updraft.operators.ingest import drop_incomplete
 from updraft.operators.universe import PUBLISHED_COLUMNS
 from updraft.sinks import ledger, results
 from updraft.sinks.price_store import PriceStore
 from updraft.sources.prices import PRICE_COLUMNS, read_prices, save_bucketed
+from updraft.sources.universe import read_universe
 from updraft.streaming.ingest import ingest_stream
 
 BATCH = "code string, date date, open double, close double, volume bigint, seq long"
@@ -130,10 +132,41 @@ def test_csv_results(spark, prices, tmp_path):
     assert tuple(back.columns) == PUBLISHED_COLUMNS and back.first()["name"] == "Alpha"
 
     table = str(tmp_path / "results")
-    results.write_parquet(published, table, cfg)
-    results.write_parquet(published, table, cfg)
+    for _ in range(2):
+        results.write_parquet(published, table, cfg, dt.date(2026, 1, 22))
     stored = spark.read.parquet(table)
     assert stored.count() == 1 and stored.first()["metric"] == "volume"
+    # The next night, with an older last date still in: the first night's rows stay.
+    results.write_parquet(published, table, cfg, dt.date(2026, 1, 23))
+    assert spark.read.parquet(table).count() == 2
+    results.write_parquet(published.limit(0), table, cfg, dt.date(2026, 1, 23))
+    assert [r["data_date"] for r in spark.read.parquet(table).collect()] == [dt.date(2026, 1, 22)]
+
+
+def test_quotes_in_csv_both_ways(spark, tmp_path):
+    import csv
+
+    name = 'He said "x", ok'
+    (tmp_path / "u.csv").write_text(f'code,name,market\n0001,"{name.replace(chr(34), chr(34) * 2)}",m\n', encoding="utf-8")
+    universe = read_universe(spark, str(tmp_path / "u.csv"))
+    assert universe.first()["name"] == name and universe.first()["market"] == "m"
+    row = {c: F.lit(1).alias(c) for c in PUBLISHED_COLUMNS} | {"name": F.lit(name).alias("name")}
+    results.write_csv(spark.range(1).select(*row.values()), str(tmp_path / "out"))
+    rows = [r for p in (tmp_path / "out").glob("part-*") for r in csv.reader(p.read_text("utf-8-sig").splitlines())]
+    assert any(name in r for r in rows)
+
+
+def test_rows_without_keys_and_other_faults(spark, prices, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    store = PriceStore(spark, str(tmp_path / "s"))
+    rows = series("AAAA", [20_000] * 3, [])
+    quotes = prices([*rows, ("BBBB", None, 1.0, 1.0, 1), (None, rows[0][1], 1.0, 1.0, 1)])
+    assert drop_incomplete(quotes).count() == 3
+    store.upsert(drop_incomplete(quotes), 1, "volume")
+    with pytest.raises(AnalysisException):
+        store.upsert(prices(rows), 2, "no_such_column")
+    assert store.read().count() == 3
 
 
 def test_result_reuse(spark, prices, tmp_path):

@@ -69,7 +69,8 @@ def with_latest_trading_day(
     """Add the newest day whose data should be complete at ``now``.
 
     Without a calendar only weekends are closed, which needs no join. With
-    one, the as-of lookup is an equality join on the precomputed open day.
+    one, the as-of lookup is an equality join on the precomputed open day; outside
+    it, and before its first open day, the weekend rule holds.
     """
     if calendar is None:
         return df.withColumn(out, last_weekday(candidate_day(now)))
@@ -78,6 +79,7 @@ def with_latest_trading_day(
     return (
         df.withColumn("_day", candidate_day(now))
         .join(F.broadcast(lookup), "_day", "left").drop("_day")
+        .withColumn(out, F.coalesce(F.col(out), last_weekday(candidate_day(now))))
     )
 
 

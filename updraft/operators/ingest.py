@@ -66,8 +66,8 @@ def wide_to_long(
 
 
 def drop_incomplete(quotes: DataFrame) -> DataFrame:
-    """Drop rows missing (NULL or NaN) an open, close or volume."""
-    return quotes.dropna(subset=["open", "close", "volume"])
+    """Drop rows missing (NULL or NaN) a key, open, close or volume."""
+    return quotes.dropna(subset=["code", "date", "open", "close", "volume"])
 
 
 def drop_unfinished(quotes: DataFrame, now: dt.datetime | Column) -> DataFrame:

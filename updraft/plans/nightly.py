@@ -72,11 +72,12 @@ def run_nightly(
     report = views.report_rows(published, cfg)
 
     results.write_csv(published, f"{out_dir}/{results.result_name(cfg)}")
-    results.write_parquet(published, f"{out_dir}/results", cfg)
     report.write.mode("overwrite").parquet(f"{out_dir}/report_{cfg.metric}")
 
     # One summary row.
     top = with_stale_flags(header.drop("stale_note"), F.col("to"), now.date()).first()
+    if top["to"] is not None:
+        results.write_parquet(published, f"{out_dir}/results", cfg, top["to"])
     notified = False
     if send is not None:
         dated = spark.createDataFrame([(cfg.metric, top["to"])], "metric string, data_date date")

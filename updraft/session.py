@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -54,6 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def is_missing_path(error: AnalysisException) -> bool:
+    """Whether a read failed because nothing was ever written there."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage and cut its lineage.
 

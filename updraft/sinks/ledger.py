@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from updraft.session import is_missing_path
+
 LEDGER_SCHEMA = T.StructType(
     [
         T.StructField("metric", T.StringType()),
@@ -44,7 +46,9 @@ def pending(candidates: DataFrame, ledger: DataFrame, force: bool = False) -> Da
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
         return spark.createDataFrame([], LEDGER_SCHEMA)
 
 

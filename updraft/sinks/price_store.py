@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from updraft.operators.upsert import merge_batch, period_of, touched_periods
+from updraft.session import is_missing_path, materialize
 from updraft.sources.prices import (
     PRICE_COLUMNS,
     PRICE_SCHEMA,
@@ -44,7 +45,9 @@ class PriceStore:
     def read(self, since: dt.date | None = None, before: dt.date | None = None) -> DataFrame:
         try:
             return read_prices(self.spark, self.prices_path, since, before)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
             return empty_prices(self.spark)
 
     def upsert(self, batch: DataFrame, batch_id: str | int, sequence: str) -> list[dt.date]:
@@ -59,6 +62,8 @@ class PriceStore:
                 self._apply(logged)
             if logged == batch_id:
                 return []
+        # Periods and staged rows must come from one evaluation of the batch.
+        batch = materialize(batch)
         # Calendar periods, not rows.
         touched = touched_periods(batch, self.unit).select("period").collect()
         periods = sorted(r["period"] for r in touched)
@@ -71,7 +76,9 @@ class PriceStore:
         """(batch, applied) of the unfinished batch and of ``batch_id``, if logged."""
         try:
             log = self.spark.read.schema("batch string, step string").parquet(self.log_path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
             return []
         applied = log.groupBy("batch").agg(F.bool_or(F.col("step") == _APPLIED).alias("applied"))
         # With one writer at most one batch is unfinished: two rows at most.
@@ -95,7 +102,9 @@ class PriceStore:
             table = self.spark.read.schema(STORED_SCHEMA).parquet(
                 self.prices_path
             )
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
             return empty_prices(self.spark)
         return table.filter(F.col("period").isin(periods)).select(*PRICE_COLUMNS)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from updraft.config import ScreenConfig, metric_info
 from updraft.operators.universe import PUBLISHED_COLUMNS
+from updraft.session import is_missing_path
 
 BYTE_ORDER_MARK = "﻿"
 
@@ -32,20 +33,18 @@ def write_csv(published: DataFrame, path: str) -> None:
     (
         published.orderBy("rank")
         .select(F.col(first).alias(BYTE_ORDER_MARK + first), *rest)
-        .write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
+        .write.mode("overwrite").csv(path, header=True, encoding="UTF-8", escape='"')
     )
 
 
-def write_parquet(published: DataFrame, path: str, cfg: ScreenConfig) -> None:
-    """Add results to a table partitioned by metric and date of the data."""
-    dated = published.withColumns(
-        {"metric": F.lit(cfg.metric), "data_date": F.col("last_date")}
-    )
-    (
-        dated.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("metric", "data_date").parquet(path)
-    )
+def write_parquet(published: DataFrame, path: str, cfg: ScreenConfig, as_of: dt.date) -> None:
+    """Replace the run's partition of a table by metric and base date.
+
+    ``as_of`` is the newest date of all bars. A hit's own last date may be older, so it
+    stays a column; a run without hits empties its partition and no other.
+    """
+    folder = f"{path}/metric={cfg.metric}/data_date={as_of}"
+    published.write.mode("overwrite").parquet(folder)
 
 
 class ResultStore:
@@ -65,7 +64,9 @@ class ResultStore:
     def get(self, cfg: ScreenConfig, as_of: dt.date, version: int = 0) -> DataFrame | None:
         try:
             return self.spark.read.parquet(self._folder(cfg, as_of, version))
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
             return None
 
     def get_or_compute(

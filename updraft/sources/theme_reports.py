@@ -14,8 +14,9 @@ from updraft.operators.themes import REPORT_SCHEMA
 
 def _cell(field: T.StructField) -> Column:
     text = F.col(f"`{field.name}`")
+    text = missing_to_null(text)
     if isinstance(field.dataType, T.StringType):
-        return missing_to_null(text).alias(field.name)
+        return text.alias(field.name)
     number = text.try_cast("boolean" if field.dataType.typeName() == "boolean" else "double")
     # Whole numbers may come as "3.0" when the column has gaps.
     return number.cast(field.dataType).alias(field.name)
@@ -27,7 +28,7 @@ def _read(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     if not listing.select("path").take(1):
         return spark.createDataFrame([], schema)
     raw = spark.read.option("pathGlobFilter", pattern).csv(
-        folder, header=True, encoding="UTF-8", enforceSchema=False
+        folder, header=True, encoding="UTF-8", enforceSchema=False, escape='"', multiLine=True
     )
     date = F.regexp_extract(F.col("_metadata.file_name"), r"daily_report_(.*)\.csv$", 1)
     cells = [

@@ -10,7 +10,7 @@ from updraft.operators.universe import normalize_listing, normalize_universe
 
 def _read_text_table(spark: SparkSession, path: str) -> tuple[DataFrame, Column]:
     """All columns as strings (codes have leading zeros), plus file order."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8")
+    raw = spark.read.csv(path, header=True, encoding="UTF-8", escape='"', multiLine=True)
     placed = raw.select(
         "*",
         F.struct(
