@@ -96,7 +96,7 @@ def clusters(base: DataFrame, percent: int) -> DataFrame:
 
 
 def join_task(words: int, percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Signature trees of the clusters of one task; gives each set's link to its component's first."""
+    """Signature trees of the clusters of one task; gives each set's link to its component's smallest id."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -113,8 +113,10 @@ def join_task(words: int, percent: int) -> Callable[[pa.Table], pa.Table]:
             rows = rows[like_order([sets[i] for i in rows])]
             _, first, same = np.unique(given[rows], return_index=True, return_inverse=True)
             found = SignatureTree([sets[i] for i in rows]).join(percent, first[same])
+            smallest = np.full(len(rows), np.iinfo(np.int64).max)
+            np.minimum.at(smallest, found, ids[rows])
             a.append(ids[rows])
-            b.append(ids[rows[found]])
+            b.append(smallest[found])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
         return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
