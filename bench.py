@@ -14,7 +14,6 @@ import json
 import os
 import statistics
 import time
-import uuid
 
 from pyspark.sql import DataFrame
 
@@ -23,14 +22,15 @@ from updraft.operators.sweep import sweep_screen
 from updraft.plans.inputs import part_month_bars
 from updraft.plans.screening import screen
 from updraft.plans.workload import GRID, LOOSE, QUERIES, TURNOVER_AVG, TWO_TIER
-from updraft.session import build_session, shared_dir
+from updraft.session import build_session, scratch_dir
 
 HEADLINE = (
     "bars_part_month", "bars_supplier_week", "streak_metrics", "screen_volume_all",
     "screen_volume_avg", "screen_turnover_all", "screen_published", "report_rows", "data_period",
     "config_grid", "sweep_metrics", "sweep_screen", "upsert_latest", "ingest_guard",
     "latest_trading_day", "freshness_by_code", "fetch_plan_by_code", "theme_history", "theme_cards",
-    "theme_pivot",
+    "theme_pivot", "screen_sliced_ranks", "screen_recent_first", "sweep_carry_forward",
+    "stream_upsert", "wide_to_long",
 )
 
 
@@ -62,7 +62,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    stored_path = f"{shared_dir(spark)}/updraft-bench-{uuid.uuid4().hex}"
+    stored_path = scratch_dir(spark, "bench")
     part_month_bars(spark, sf_dir).write.parquet(stored_path)
 
     jobs = {name: lambda name=name: QUERIES[name](spark, sf_dir) for name in HEADLINE}

@@ -97,6 +97,24 @@ def test_interactive_view(spark, prices, tmp_path):
     assert reuse.get(cfg, LAST) is not None
 
 
+def test_a_load_ends_the_reuse_of_results(spark, tmp_path):
+    store, reuse = PriceStore(spark, str(tmp_path / "db")), ResultStore(spark, str(tmp_path / "kept"))
+    rows = series("AAAA", [20_000] * 15, RISE)
+    cfg = ScreenConfig()
+    hits = lambda: screener_view(store, names(spark), cfg, reuse=reuse).count()
+    assert store.version() == 0
+    store.upsert(quotes(spark, rows), "one", "seq")
+    assert hits() == 1 and store.version() == 1
+    code, day, open_, _, volume = rows[-1]
+    store.upsert(quotes(spark, [(code, day, open_, 1.0, volume)]), "two", "seq")
+    assert hits() == 0 and store.version() == 2
+
+
+def test_equal_configs_have_one_digest():
+    assert ScreenConfig(min_volume=10_000).digest == ScreenConfig(min_volume=10_000.0).digest
+    assert ScreenConfig(min_volume=10_001).digest != ScreenConfig().digest
+
+
 def test_theme_page(spark):
     reports = theme_reports(spark, "/root/testdata/sf0.001")
     page = theme_page(reports, dt.datetime(2024, 2, 1, 20, 0))

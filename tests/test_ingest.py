@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,17 @@ def rows_of(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
+def test_wide_frames_of_many_tickers(spark):
+    fields = [f"{n}'.T|{field}" for n in range(1000) for field in ingest.QUOTE_FIELDS]
+    wide = spark.range(2).select(F.lit("2026-01-05").cast("date").alias("Date"), *[F.lit(float(n)).alias(c) for n, c in enumerate(fields)])
+    start = time.perf_counter()
+    long = ingest.wide_to_long(wide)
+    assert long.columns == ["code", "date", "open", "close", "volume"]
+    assert time.perf_counter() - start < 8
+    last = long.filter("code = \"999'\"").collect()
+    assert [(r["open"], r["close"], r["volume"]) for r in last] == [(2997.0, 2998.0, 2999.0)] * 2
+
+
 def test_wide_frames_become_long(spark):
     wide = spark.createDataFrame(
         [(TODAY, 1.0, 2.0, 30.9, 4.0, None, 60.0, 7.0)],

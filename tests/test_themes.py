@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from updraft.operators import themes
-from updraft.sources.theme_reports import read_theme_report, read_theme_reports
+from updraft.sinks.theme_reports import write_theme_reports
+from updraft.sources.theme_reports import read_theme_report, read_theme_reports, theme_report_dates
 
 HEADER = (
     "rank,theme,status,ignition,stage,confidence,participants,eligible_members,"
@@ -48,6 +49,40 @@ def test_no_reports(spark, tmp_path):
     assert themes.theme_history(empty).columns == ["date", "theme", "confidence"]
 
 
+def test_missing_folder(spark, tmp_path):
+    nowhere = str(tmp_path / "none")
+    assert read_theme_reports(spark, nowhere).count() == theme_report_dates(spark, nowhere).count() == 0
+
+
+def test_headers_may_differ_and_cells_may_be_missing(spark, folder, tmp_path):
+    (tmp_path / "daily_report_2026-06-25.csv").write_text("theme,rank,confidence\nAI,1.0,2.5\nNew,NaN,NaN\n")
+    (tmp_path / "daily_report_2026-06-26.csv").write_text(HEADER + "\n")
+    reports = read_theme_reports(spark, folder)
+    assert reports.count() == 8 and len(reports.columns) == len(themes.REPORT_SCHEMA) + 1
+    last = {r["theme"]: r for r in themes.report_of(reports).collect()}
+    assert (last["AI"]["rank"], last["AI"]["confidence"], last["AI"]["status"]) == (1, 2.5, None)
+    assert last["New"]["rank"] is None and last["New"]["confidence"] is None
+    # A report without rows is listed all the same.
+    assert [r[0] for r in theme_report_dates(spark, folder).collect()] == [f"2026-06-{d}" for d in (26, 25, 24, 23)]
+
+
+def test_reports_are_written_as_dated_files(spark, folder, tmp_path):
+    reports = read_theme_reports(spark, folder)
+    out = tmp_path / "out"
+    write_theme_reports(reports, str(out))
+    write_theme_reports(reports.filter("report_date = '2026-06-24' and rank = 1"), str(out))
+    assert sorted(p.name for p in out.glob("[!._]*")) == [f"daily_report_2026-06-{d}.csv" for d in (23, 24)]
+    back = {(r["report_date"], r["rank"]): r for r in read_theme_reports(spark, str(out)).collect()}
+    assert back == {(r["report_date"], r["rank"]): r for r in reports.collect() if (r["report_date"], r["rank"]) != ("2026-06-24", 2)}
+
+
+def test_reports_scale_by_themselves(spark, folder):
+    rows = {(r["report_date"], r["theme"]): r["width"] for r in themes.theme_rows(read_theme_reports(spark, folder)).collect()}
+    assert rows["2026-06-24", "AI"] == rows["2026-06-23", "AI"] == "100%" and rows["2026-06-24", "New"] == "0%"
+    odd = spark.createDataFrame([("a", float("nan")), ("b", 2.0), ("c", 4.0)], "theme string, confidence double")
+    assert {r["theme"]: r["width"] for r in themes.with_confidence_width(odd).collect() if r["theme"] != "a"} == {"b": 0.0, "c": 100.0}
+
+
 def test_history_reads_two_columns(spark, folder):
     history = themes.theme_history(read_theme_reports(spark, folder))
     assert history.count() == 6

@@ -115,7 +115,9 @@ class ScreenConfig:
     @property
     def digest(self) -> str:
         """Short stable key of this config, usable as a partition value."""
-        text = json.dumps(asdict(self), sort_keys=True)
+        # Equal numbers, 10000 and 10000.0, are one key.
+        values = {k: v if isinstance(v, str) else float(v) for k, v in asdict(self).items()}
+        text = json.dumps(values, sort_keys=True)
         return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 

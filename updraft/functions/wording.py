@@ -18,6 +18,8 @@ TIER_MARKS = {1: "🔥", 2: "✨"}
 TIP_AVERAGE, TIP_LOWEST, TIP_BASE = "連騰中の平均", " / 最小 ", " / 基準中央値 "
 NO_HITS = "該当する銘柄はありませんでした"
 
+MODE = "{label} ｜ {vol_mode}"
+
 # View orders: label to (column, ascending)
 VIEW_ORDERS = {
     "総合順位": ("rank", True),
@@ -40,6 +42,7 @@ NOTICE_TIME = "**抽出日時**: {run_time}{note}"
 NOTICE_COUNT, NOTICE_COUNT_UNIT = "**該当銘柄数**: ", " 件"
 NOTICE_RISE, NOTICE_RISE_END = "📈 上昇率: **+", "%**"
 NOTICE_RATIO, NOTICE_RATIO_END = "📊 {label}: **", "倍** (平均)"
+NOTICE_NO_HITS_TITLE = "**📈 連騰・出来高スクリーニング ({run_time})**{note}"
 NOTICE_NO_HITS = "今回は条件に合致する銘柄はありませんでした。"
 NOTE_LINE = "\n⚠️ {note}"
 

@@ -113,9 +113,12 @@ def sweep_screen(
 
 
 def _valid_until_next(hits: DataFrame, prices: DataFrame) -> DataFrame:
-    """One copy of a hit per data date up to the code's next bar."""
-    dates = prices.select(F.col("date").alias("as_of")).distinct()
-    last = prices.agg(F.max("date")).scalar()
-    until = F.coalesce(F.date_sub("next_date", 1), last)
-    days = F.sequence(F.col("last_date"), until, F.expr("interval 1 day"))
-    return hits.withColumn("as_of", F.explode(days)).join(dates, "as_of", "left_semi")
+    """One copy of a hit per data date up to the code's next bar.
+
+    The data dates, bounded by the calendar, are one sorted array; each hit is
+    expanded over its slice of them and no other day.
+    """
+    days = prices.agg(F.sort_array(F.collect_set("date"))).scalar()
+    first = F.array_position(days, F.col("last_date"))
+    after = F.coalesce(F.array_position(days, F.col("next_date")), F.size(days) + 1)
+    return hits.withColumn("as_of", F.explode(F.slice(days, first.cast("int"), (after - first).cast("int"))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,14 +83,19 @@ def filter_themes(
     return report
 
 
-def with_confidence_width(report: DataFrame) -> DataFrame:
-    """Add ``width``: confidence scaled to 0..100 over the report.
+def with_confidence_width(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``width``: confidence scaled to 0..100 over the report, NaN left out of the bounds.
 
-    The bounds are a one-row aggregate read as scalars; no join is planned.
+    With ``by`` each group, such as one report date, has bounds of its own from a
+    window. Else they are a one-row aggregate read as a scalar; no join is planned.
     """
-    bounds = report.agg(
-        F.struct(F.min("confidence").alias("low"), F.max("confidence").alias("high"))
-    ).scalar()
+    known = F.when(~F.isnan("confidence"), F.col("confidence"))
+    low, high = F.min(known), F.max(known)
+    if by:
+        group = Window.partitionBy(*by)
+        bounds = F.struct(low.over(group).alias("low"), high.over(group).alias("high"))
+    else:
+        bounds = report.agg(F.struct(low.alias("low"), high.alias("high"))).scalar()
     scaled = report.withColumn("_bounds", bounds)
     span = F.col("_bounds.high") - F.col("_bounds.low")
     span = F.when(span == 0, F.lit(1.0)).otherwise(span)
@@ -100,7 +105,11 @@ def with_confidence_width(report: DataFrame) -> DataFrame:
 
 
 def theme_rows(report: DataFrame) -> DataFrame:
-    """The report as display texts, one row per theme."""
+    """The reports as display texts, one row per theme, each report scaled by itself.
+
+    ``report_date`` comes first where ``report`` has it.
+    """
+    by = [c for c in ("report_date",) if c in report.columns]
     none = F.lit(say.NONE_MARK)
     tip = F.concat(
         F.lit(say.TIP_PARTICIPATION), labels.fixed(F.col("participation_rate") * 100, 1),
@@ -108,8 +117,8 @@ def theme_rows(report: DataFrame) -> DataFrame:
         F.lit(say.TIP_REGISTERED), F.coalesce("registered_since", none),
         F.lit(say.TIP_IGNITED), F.coalesce("last_ignition", none),
     )
-    return with_confidence_width(report).select(
-        "rank", labels.rank_badge(F.col("rank")).alias("badge"), "theme",
+    return with_confidence_width(report, by).select(
+        *by, "rank", labels.rank_badge(F.col("rank")).alias("badge"), "theme",
         F.when(_true("small_universe"), F.lit(say.SMALL_UNIVERSE)).otherwise(F.lit("")).alias("warning"),
         labels.theme_status(F.col("status"), F.col("ignition")).alias("status"),
         labels.theme_stage(F.col("stage")).alias("stage"),

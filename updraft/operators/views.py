@@ -107,7 +107,7 @@ def report_header(
         F.coalesce(F.date_format("_base", "yyyy-MM-dd"), F.lit("N/A")).alias("base_date"),
         F.col("_period.from").alias("from"), F.col("_period.to").alias("to"),
         F.col("_period.codes").alias("codes"),
-        F.lit(f"{info.label} | {cfg.vol_mode}").alias("mode"),
+        F.lit(say.MODE.format(label=info.label, vol_mode=cfg.vol_mode)).alias("mode"),
         F.when(F.col("hits") == 0, F.lit(say.NO_HITS)).otherwise(F.lit("")).alias("message"),
         stale_note(F.col("_period.to"), today).alias("stale_note"),
     )
@@ -141,9 +141,8 @@ def notification_payload(
 ) -> DataFrame:
     """One row with the JSON message: the listed hits, or the no-hits text."""
     info = metric_info(cfg)
-    head = say.NOTICE_TIME.format(
-        run_time=run_time, note=say.NOTE_LINE.format(note=note) if note else ""
-    )
+    opening = {"run_time": run_time, "note": say.NOTE_LINE.format(note=note) if note else ""}
+    head, no_hits = (t.format(**opening) for t in (say.NOTICE_TIME, say.NOTICE_NO_HITS_TITLE))
     field = F.struct(
         F.col("title").alias("name"), F.col("body").alias("value"), F.lit(False).alias("inline")
     )
@@ -162,7 +161,7 @@ def notification_payload(
     )
     empty = F.size("listed") == 0
     message = F.struct(
-        F.when(empty, F.lit(f"{head}\n{say.NOTICE_NO_HITS}")).alias("content"),
+        F.when(empty, F.lit(f"{no_hits}\n{say.NOTICE_NO_HITS}")).alias("content"),
         F.when(~empty, F.array(embed)).alias("embeds"),
     )
     return listed.withColumn("_total", total).select(F.to_json(message).alias("payload"))

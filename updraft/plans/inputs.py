@@ -40,12 +40,13 @@ def supplier_week_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brand_day_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily quotes of the 25 brands as one wide frame, columns ``ticker|field``.
+    """Daily quotes of all brands as one wide frame, columns ``ticker|field``.
 
     A brand without a trade on a day leaves gaps, as vendor frames do.
     """
-    brands = [f"Brand#{n}" for n in range(1, 26)]
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    # Column names of the wide frame: a few brands.
+    brands = sorted(r["p_brand"] for r in part.select("p_brand").distinct().dropna().collect())
     lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     bars = line_bars(lines, F.col("p_brand"), F.to_date("l_shipdate"))
     wide = (

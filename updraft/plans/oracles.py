@@ -115,9 +115,9 @@ def screen_sql(bars: str, cfg: ScreenConfig, before: str = "", after: str = "")
   {after or "SELECT * FROM hits"}"""
 
 
-def _published(cfg: ScreenConfig, after: str) -> str:
+def _published(cfg: ScreenConfig, after: str, bars: str = PART_MONTH) -> str:
     return screen_sql(
-        PART_MONTH, cfg, before=f"universe AS ({PART_UNIVERSE}), ",
+        bars, cfg, before=f"universe AS ({PART_UNIVERSE}), ",
         after=f""", published AS (
     SELECT rank, code, coalesce(name, code) AS name, coalesce(market, '') AS market, streak_len,
            tier, last_date, last_close, rise_pct, avg_vol3, min_vol3, base_med, avg_ratio,
@@ -303,6 +303,14 @@ _UNIVERSE = """
            arg_max(o_orderstatus, o_orderkey) AS market
     FROM orders GROUP BY o_custkey"""
 
+_LISTING = """
+    SELECT CAST(s_suppkey AS VARCHAR) AS code, s_name AS name, n_name AS market
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE', 'AFRICA')"""
+
+_DATED = """
+  SELECT *, 'volume' AS metric, (SELECT max(date) FROM bars) AS data_date FROM published"""
+
 _HITS_NAMED = f"universe AS ({PART_UNIVERSE} WHERE p_type <> 'ECONOMY'), "
 
 ORACLES: dict[str, str] = {
@@ -348,7 +356,7 @@ ORACLES: dict[str, str] = {
     count(*) FILTER (tier = 2) AS tier2,
     coalesce(strftime(arg_min(last_date, rank), '%Y-%m-%d'), 'N/A') AS base_date,
     (SELECT min(date) FROM bars) AS "from", (SELECT max(date) FROM bars) AS "to",
-    (SELECT count(DISTINCT code) FROM bars) AS codes, '出来高 | all' AS mode,
+    (SELECT count(DISTINCT code) FROM bars) AS codes, '出来高 ｜ all' AS mode,
     CASE WHEN count(*) = 0 THEN '該当する銘柄はありませんでした' ELSE '' END AS message,
     (SELECT '最新データは ' || strftime(max(date), '%Y-%m-%d')
        || ' 時点です(本日 2001-11-12 分は未反映の可能性)。'
@@ -358,12 +366,22 @@ ORACLES: dict[str, str] = {
     "results_csv": _published(w.LOOSE, "SELECT * FROM published"),
     "notify_top20": _published(w.LOOSE, _NOTIFY),
     "notify_payload": _published(w.LOOSE, _PAYLOAD),
+    "notify_no_hits": _published(
+        w.NO_HITS,
+        """SELECT '{"content":"**📈 連騰・出来高スクリーニング (2001-11-12 22:00)**'
+      || '\\n今回は条件に合致する銘柄はありませんでした。"}' AS payload
+    FROM (SELECT count(*) AS n FROM published) WHERE n = 0""",
+    ),
+    "results_history": " UNION ALL ".join(
+        f"SELECT * FROM ({_published(w.LOOSE, _DATED, bars)})"
+        for bars in (f"SELECT * FROM ({PART_MONTH}) WHERE date < DATE '{w.CORRECTED}'", PART_MONTH)
+    ),
+    "screen_reused": _published(w.LOOSE, "SELECT * FROM published"),
+    "nightly_published": _published(w.LOOSE, "SELECT * FROM published"),
     "universe_normalize": _UNIVERSE,
     "universe_csv": _UNIVERSE,
-    "listing_normalize": """
-    SELECT CAST(s_suppkey AS VARCHAR) AS code, s_name AS name, n_name AS market
-    FROM supplier JOIN nation ON s_nationkey = n_nationkey
-    JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE', 'AFRICA')""",
+    "listing_normalize": _LISTING,
+    "listing_csv": _LISTING,
     "wide_to_long": BRAND_DAY,
     "ingest_guard": """
     SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS date,
@@ -453,7 +471,8 @@ ORACLES: dict[str, str] = {
       / (max(confidence) OVER () - min(confidence) OVER ()) * 100 AS width
     FROM {_LATEST_REPORT}""",
     "theme_labels": f"""
-    SELECT rank, CASE WHEN rank > 3 THEN 'other' ELSE CAST(rank AS VARCHAR) END AS badge, theme,
+    SELECT report_date, rank,
+           CASE WHEN rank > 3 THEN 'other' ELSE CAST(rank AS VARCHAR) END AS badge, theme,
            CASE WHEN small_universe THEN '⚠小母数' ELSE '' END AS warning,
            CASE WHEN ignition <> '' THEN '⚡ ' || ignition WHEN status = '初動' THEN '⚡ 初動'
                 ELSE coalesce(status, '圏外') END AS status,
@@ -470,8 +489,8 @@ ORACLES: dict[str, str] = {
            '参加率 ' || printf('%.1f', participation_rate * 100) || '% / 集中度 '
              || printf('%.2f', concentration) || ' / 初動登録 ' || coalesce(registered_since, '—')
              || ' / 直近点火 —' AS tip
-    FROM (SELECT *, min(confidence) OVER () AS lo, max(confidence) OVER () AS hi
-          FROM ({_REPORTS}))""",
+    FROM (SELECT *, min(confidence) OVER one AS lo, max(confidence) OVER one AS hi
+          FROM ({_REPORTS}) WINDOW one AS (PARTITION BY report_date))""",
     "theme_top5": f"SELECT rank, theme FROM {_LATEST_REPORT} WHERE rank <= 5",
     "theme_pivot": f"""
     SELECT report_date AS date,
@@ -481,6 +500,12 @@ ORACLES: dict[str, str] = {
            avg(confidence) FILTER (theme = 'signup') AS signup,
            avg(confidence) FILTER (theme = 'view') AS view
     FROM ({_REPORTS}) GROUP BY report_date""",
+    "theme_files_dates": "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS report_date FROM events",
+    "theme_files_report": f"""
+    SELECT * REPLACE (CASE WHEN CAST(substr(report_date, 10) AS INTEGER) % 2 = 1
+                           THEN registered_since END AS registered_since)
+    FROM ({_REPORTS})""",
+    "theme_files_history": f"SELECT report_date AS date, theme, confidence FROM ({_REPORTS})",
     "theme_stale": """
     SELECT strftime(max(ts), '%Y-%m-%d') AS newest, DATE '2024-01-31' AS target_day,
            strftime(max(ts), '%Y-%m-%d') < '2024-01-31' AS is_stale

@@ -14,11 +14,12 @@ from updraft.operators import themes, views
 from updraft.operators.freshness import latest_date
 from updraft.operators.universe import publish
 from updraft.plans.screening import screen
+from updraft.sinks.price_store import PriceStore
 from updraft.sinks.results import ResultStore
 
 
 def screener_view(
-    prices: DataFrame,
+    prices: DataFrame | PriceStore,
     universe: DataFrame,
     cfg: ScreenConfig,
     query: str = "",
@@ -29,8 +30,11 @@ def screener_view(
     """Hits under ``cfg``, searched and sorted.
 
     With ``reuse`` the ranked hits of a config seen before, on the same newest
-    date and ``version`` of the bars, are read back instead of screened again.
+    date and ``version`` of the bars, are read back instead of screened again. A
+    price store brings its own version, so that no load leaves an old result in use.
     """
+    if isinstance(prices, PriceStore):
+        prices, version = prices.read(), prices.version()
     if reuse is None:
         hits = screen(prices, cfg)
     else:

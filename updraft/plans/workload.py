@@ -6,7 +6,6 @@ Each query reads whole tables; fixed dates stand in for the clock.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -22,12 +21,16 @@ from updraft.operators.sweep import sweep_metrics, sweep_screen
 from updraft.operators.universe import enrich, normalize_listing, normalize_universe
 from updraft.operators.upsert import latest_rows, merge_batch, touched_periods
 from updraft.plans import inputs
+from updraft.plans.nightly import run_nightly
+from updraft.plans.pages import screener_view
 from updraft.plans.screening import published_screen, screen, screen_recent_first
-from updraft.session import shared_dir
+from updraft.session import scratch_dir
 from updraft.sinks import ledger
 from updraft.sinks.price_store import PriceStore
-from updraft.sinks.results import result_name, write_csv
-from updraft.sources.universe import read_universe
+from updraft.sinks.results import ResultStore, result_name, write_csv, write_parquet
+from updraft.sinks.theme_reports import write_theme_reports
+from updraft.sources.theme_reports import read_theme_reports, theme_report_dates
+from updraft.sources.universe import read_listing, read_universe
 from updraft.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +41,7 @@ LOOSE = ScreenConfig(
     turnover_vol_mult=1.0, turnover_vol_mult_short=1.0, min_volume=0,
 )
 LOOSE_AVG = replace(LOOSE, vol_mode="avg")
+NO_HITS = replace(LOOSE, min_volume=1e12)
 TURNOVER = replace(LOOSE, metric="turnover")
 TURNOVER_AVG = replace(TURNOVER, vol_mode="avg", base_window=7, w_vol=0.3, w_rise=0.7)
 TWO_TIER = replace(LOOSE, vol_mult=1.3, vol_mult_short=2.0)
@@ -51,6 +55,8 @@ TODAY = dt.date(2001, 11, 12)
 NOW = dt.datetime(2001, 11, 12, 22, 0)
 GUARD_NOW = dt.datetime(1998, 6, 15, 10, 0)
 THEME_NOW = dt.datetime(2024, 2, 1, 20, 0)
+# From this day on the first load of a corrected price history is wrong.
+CORRECTED = dt.date(1998, 1, 1)
 HOLIDAYS = ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-08")
 
 
@@ -117,7 +123,7 @@ def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _universe_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows through a CSV file, where the last line of a code wins."""
-    folder = f"{shared_dir(spark)}/updraft-universe-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "universe")
     (
         inputs.table(spark, sf_dir, "orders").orderBy("o_orderkey")
         .select(
@@ -132,7 +138,7 @@ def _universe_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published hits written as CSV and read back."""
     published = _published(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/updraft-result-{uuid.uuid4().hex}/{result_name(LOOSE)}"
+    folder = f"{scratch_dir(spark, 'result')}/{result_name(LOOSE)}"
     write_csv(published, folder)
     back = spark.read.csv(folder, header=True)
     # CSV keeps no difference between an empty text and a missing one.
@@ -140,14 +146,79 @@ def _results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.fillna("", ["market"])
 
 
+def _results_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two nights, where old codes keep their own last dates, and of a run without hits."""
+    prices, universe = inputs.part_month_bars(spark, sf_dir), inputs.part_universe(spark, sf_dir)
+    folder = scratch_dir(spark, "results")
+    nights = [
+        (prices.filter(F.col("date") < F.lit(CORRECTED)), LOOSE), (prices, LOOSE),
+        (prices, replace(NO_HITS, metric="turnover")),
+    ]
+    for bars, cfg in nights:
+        newest = freshness.latest_date(bars).first()["latest"]
+        write_parquet(published_screen(bars, universe, cfg), folder, cfg, newest)
+    return spark.read.parquet(folder)
+
+
+def _first_load(prices: DataFrame) -> DataFrame:
+    """The bars as a load that knew no volumes from CORRECTED on."""
+    unknown = F.col("date") >= F.lit(CORRECTED)
+    return prices.withColumn("volume", F.when(unknown, F.lit(0)).otherwise(F.col("volume")).cast("bigint"))
+
+
+def _screen_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screen through the result store, correct the bars, screen again."""
+    prices = inputs.part_month_bars(spark, sf_dir).withColumn("seq", F.lit(1))
+    universe, folder = inputs.part_universe(spark, sf_dir), scratch_dir(spark, "reuse")
+    store, reuse = PriceStore(spark, f"{folder}/store"), ResultStore(spark, f"{folder}/results")
+    store.upsert(_first_load(prices), "first", "seq")
+    screener_view(store, universe, LOOSE, reuse=reuse)
+    store.upsert(prices.filter(F.col("date") >= F.lit(CORRECTED)), "correction", "seq")
+    return screener_view(store, universe, LOOSE, reuse=reuse)
+
+
+def _nightly_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nightly run over a store that holds a wrong load already."""
+    prices = inputs.part_month_bars(spark, sf_dir).withColumn("seq", F.lit(1))
+    folder = scratch_dir(spark, "nightly")
+    store = PriceStore(spark, f"{folder}/store")
+    store.upsert(_first_load(prices), "first", "seq")
+    run_nightly(store, inputs.part_universe(spark, sf_dir), f"{folder}/out", NOW, LOOSE, quotes=prices)
+    return spark.read.parquet(f"{folder}/out/results").drop("metric", "data_date")
+
+
+def _theme_files(query: Callable[[SparkSession, str], DataFrame]) -> Query:
+    """A query over a folder of report files; those of even days know no registrations."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder, reports = scratch_dir(spark, "themes"), inputs.theme_reports(spark, sf_dir)
+        even = F.substring("report_date", 10, 1).cast("int") % 2 == 0
+        write_theme_reports(reports.filter(~even), folder)
+        write_theme_reports(reports.filter(even).drop("registered_since"), folder)
+        return query(spark, folder)
+
+    return run
+
+
+def _listing_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same listing through a CSV file."""
+    folder = scratch_dir(spark, "listing")
+    _raw_listing(spark, sf_dir).write.csv(folder, header=True, escape='"')
+    return read_listing(spark, folder)
+
+
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize_listing(_raw_listing(spark, sf_dir), F.col("コード"))
+
+
+def _raw_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as an exchange listing with domestic and other segments."""
     nation = inputs.table(spark, sf_dir, "nation")
     region = inputs.table(spark, sf_dir, "region")
     kind = F.when(F.col("r_name").isin("ASIA", "EUROPE", "AFRICA"), F.lit("（内国株式）")).otherwise(
         F.lit("(外国株式)")
     )
-    listing = (
+    return (
         inputs.table(spark, sf_dir, "supplier")
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -157,7 +228,6 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat("n_name", kind).alias("市場・商品区分"),
         )
     )
-    return normalize_listing(listing, F.col("コード"))
 
 
 def _wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +256,7 @@ def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a stream, through the price store, read back."""
-    folder = f"{shared_dir(spark)}/updraft-stream-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "stream")
     schema = inputs.table(spark, sf_dir, "lineitem").schema
     lines = (
         spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
@@ -286,9 +356,16 @@ QUERIES: dict[str, Query] = {
     "notify_payload": _on_published(
         lambda r: views.notification_payload(r, LOOSE, "2001-11-12 22:00")
     ),
+    "notify_no_hits": lambda spark, sf_dir: views.notification_payload(
+        _published(spark, sf_dir, NO_HITS), NO_HITS, "2001-11-12 22:00"
+    ),
+    "results_history": _results_history,
+    "screen_reused": _screen_reused,
+    "nightly_published": _nightly_published,
     "universe_normalize": _universe,
     "universe_csv": _universe_csv,
     "listing_normalize": _listing,
+    "listing_csv": _listing_csv,
     "wide_to_long": _wide_to_long,
     "ingest_guard": _guarded,
     "upsert_latest": _upsert,
@@ -321,6 +398,13 @@ QUERIES: dict[str, Query] = {
     "theme_labels": _themes(themes.theme_rows),
     "theme_top5": _themes(_theme_top),
     "theme_pivot": _themes(_theme_pivot),
+    "theme_files_dates": _theme_files(theme_report_dates),
+    "theme_files_report": _theme_files(
+        lambda spark, folder: read_theme_reports(spark, folder).drop("last_ignition")
+    ),
+    "theme_files_history": _theme_files(
+        lambda spark, folder: themes.theme_history(read_theme_reports(spark, folder))
+    ),
     "theme_stale": _themes(lambda r: themes.report_staleness(r, THEME_NOW)),
     "sweep_metrics": _bars(lambda p: sweep_metrics(p, LOOSE).drop("next_date")),
     "sweep_screen": _bars(lambda p: sweep_screen(p, TWO_TIER)),

@@ -50,6 +50,13 @@ class PriceStore:
                 raise
             return empty_prices(self.spark)
 
+    def version(self) -> int:
+        """Number of batches applied so far: names the state of the bars for stored results."""
+        log = self._log()
+        if log is None:
+            return 0
+        return log.filter(F.col("step") == _APPLIED).select("batch").distinct().count()
+
     def upsert(self, batch: DataFrame, batch_id: str | int, sequence: str) -> list[dt.date]:
         """Apply ``batch`` and return the periods it touched.
 
@@ -72,13 +79,18 @@ class PriceStore:
             self._apply(batch_id)
         return periods
 
-    def _open_steps(self, batch_id: str) -> list[tuple[str, bool]]:
-        """(batch, applied) of the unfinished batch and of ``batch_id``, if logged."""
+    def _log(self) -> DataFrame | None:
         try:
-            log = self.spark.read.schema("batch string, step string").parquet(self.log_path)
+            return self.spark.read.schema("batch string, step string").parquet(self.log_path)
         except AnalysisException as error:
             if not is_missing_path(error):
                 raise
+            return None
+
+    def _open_steps(self, batch_id: str) -> list[tuple[str, bool]]:
+        """(batch, applied) of the unfinished batch and of ``batch_id``, if logged."""
+        log = self._log()
+        if log is None:
             return []
         applied = log.groupBy("batch").agg(F.bool_or(F.col("step") == _APPLIED).alias("applied"))
         # With one writer at most one batch is unfinished: two rows at most.

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from updraft.functions.text import missing_to_null
 from updraft.operators.themes import REPORT_SCHEMA
+from updraft.session import is_missing_path
+
+_NAME = r"daily_report_([^/]*)\.csv$"
 
 
 def _cell(field: T.StructField) -> Column:
@@ -22,15 +27,32 @@ def _cell(field: T.StructField) -> Column:
     return number.cast(field.dataType).alias(field.name)
 
 
-def _read(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    schema = T.StructType([*REPORT_SCHEMA.fields, T.StructField("report_date", T.StringType())])
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    if not listing.select("path").take(1):
-        return spark.createDataFrame([], schema)
-    raw = spark.read.option("pathGlobFilter", pattern).csv(
-        folder, header=True, encoding="UTF-8", enforceSchema=False, escape='"', multiLine=True
+def _listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame | None:
+    """The files as rows (path, content); content is read only where it is asked for."""
+    try:
+        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
+        return None
+
+
+def _files_by_header(listing: DataFrame) -> list[list[str]]:
+    """Paths of the files with rows of columns, those of one header together."""
+    header = F.regexp_extract(F.decode("content", "UTF-8"), r"\A\uFEFF?([^\r\n]*)", 1)
+    groups = (
+        listing.select("path", header.alias("header")).filter("header <> ''")
+        .groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    )
+    # One path for each report day, under a few headers.
+    return [row["paths"] for row in groups.orderBy("header").collect()]
+
+
+def _read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    raw = spark.read.csv(
+        paths, header=True, encoding="UTF-8", enforceSchema=False, escape='"', multiLine=True
     )
-    date = F.regexp_extract(F.col("_metadata.file_name"), r"daily_report_(.*)\.csv$", 1)
+    date = F.regexp_extract(F.col("_metadata.file_name"), _NAME, 1)
     cells = [
         _cell(f) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name)
         for f in REPORT_SCHEMA.fields
@@ -38,12 +60,31 @@ def _read(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return raw.select(*cells, date.alias("report_date"))
 
 
+def _read(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    listing = _listing(spark, folder, pattern)
+    groups = [] if listing is None else _files_by_header(listing)
+    if not groups:
+        schema = T.StructType([*REPORT_SCHEMA.fields, T.StructField("report_date", T.StringType())])
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [_read_files(spark, paths) for paths in groups])
+
+
+def theme_report_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates with a report file, newest first, one without rows included; no file is opened."""
+    listing = _listing(spark, folder, "daily_report_*.csv")
+    if listing is None:
+        return spark.createDataFrame([], "report_date string")
+    dates = listing.select(F.regexp_extract("path", _NAME, 1).alias("report_date"))
+    return dates.distinct().orderBy(F.col("report_date").desc())
+
+
 def read_theme_reports(spark: SparkSession, folder: str) -> DataFrame:
     """All reports as one frame with ``report_date`` from the file name.
 
     Columns are found by header, and readers of few columns parse only those.
-    All files need the same header; a differing one raises. A folder without
-    reports gives an empty frame of the same schema.
+    Files whose headers differ are read apart, and a column a file lacks is
+    NULL in its rows. A missing folder, or one without reports, gives an empty
+    frame of the same schema.
     """
     return _read(spark, folder, "daily_report_*.csv")
 
