@@ -174,6 +174,17 @@ def test_language_model(spark, most, shard):
         assert got[i][:4] == row[:4] and math.isclose(got[i][4], row[4], abs_tol=1e-9) and math.isclose(got[i][5], row[5], abs_tol=0.01)
 
 
+@pytest.mark.parametrize("few,shard", [(30, 300), (0, 1000), (1 << 18, 300)])
+def test_language_model_learns_bigrams_of_rare_words(spark, few, shard):
+    rnd = random.Random(few)
+    docs = [(i, " ".join(rnd.choice(["The", "the", "a", "of", f"w{rnd.randrange(80)}", f"once{i} twin{i % 40}"]) for _ in range(rnd.randrange(60)))) for i in range(120)]
+    docs += [(1000, None), (1001, "unseen Unseen " * 3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in lm_scoring.score(frame, held_out_of(5, 1), shard_tokens=shard, broadcast=few).collect()}
+    for i, row in model_scores(docs, math.inf).items():
+        assert got[i][:4] == row[:4] and math.isclose(got[i][4], row[4], abs_tol=1e-9) and math.isclose(got[i][5], row[5], abs_tol=0.01)
+
+
 def test_language_model_of_odd_and_no_documents(odd, none):
     rows = lm_scoring.score(odd, held_out_of(5, 1)).collect()
     assert len(rows) == odd.count() and len({tuple(r) for r in rows if r["doc_id"] == 6}) == 1
