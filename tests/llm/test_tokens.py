@@ -85,6 +85,22 @@ def test_counts_of_documents(spark, odd, none, tmp_path):
     assert token_files.document_counts(none, f"{tmp_path}/g", TOKENIZER).count() == 0
 
 
+def test_counts_keep_their_documents_when_scans_are_split_anew(spark, tmp_path):
+    texts = [(i, "word " * (i % 37)) for i in range(4000)]
+    for half in (texts[:2500], texts[2500:]):
+        spark.createDataFrame(half, "doc_id long, text string").coalesce(1).write.mode("append").option("parquet.block.size", 4096).parquet(f"{tmp_path}/d")
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    try:
+        spark.conf.set(cost, "1")
+        counts = token_files.document_counts(spark.read.parquet(f"{tmp_path}/d"), f"{tmp_path}/f", TOKENIZER).select("doc_id", "n_tokens")
+        spark.conf.set(size, "4k")
+        got = sorted(map(tuple, counts.collect()))
+    finally:
+        spark.conf.unset(size)
+        spark.conf.unset(cost)
+    assert got == [(i, len(ids_of(t)) + 1) for i, t in texts]
+
+
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 3, "b": 2, "c": 2}, {"a": 50, "b": 1, None: 7}, {f"s{i}": i + 1 for i in range(9)}])
 def test_edf_keeps_every_source_within_a_block(weights):
     slots = mixing.slots_of_period(weights, 97)

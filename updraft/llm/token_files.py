@@ -27,27 +27,58 @@ BLOCK_IDS = 1 << 20
 COUNTS = "part int, nth long, start long, n_tokens long, ended boolean"
 
 
+IDS, NAMES = "a-ids", "b-names"
+ENCODED = "kind string, nth long, value binary"
+
+
 def encode_rows(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each row its ids, and its name with its place among the rows of the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer)
         if encoder.vocabulary > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
+        first = 0
         for batch in batches:
-            ids = [x.astype("<u2").tobytes() for x in encoder.encode(batch.column(0))]
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
+            n = batch.num_rows
+            ids = [x.astype("<u2").tobytes() for x in encoder.encode(batch.column(1))]
+            names = [f"{first + i}:{name}".encode() if name is not None else b"%d" % (first + i) for i, name in enumerate(batch.column(0).to_pylist())]
+            for kind, values in ((IDS, ids), (NAMES, names)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * n, pa.string()), pa.array(np.arange(first, first + n)), pa.array(values, pa.binary())], names=["kind", "nth", "value"]
+                )
+            first += n
         encoder.forget()
 
     return run
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int = SEPARATOR, text: str = "text") -> None:
-    """One flat file for each partition of ``docs``, its rows in partition order.
+def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int = SEPARATOR, id: str = "doc_id", text: str = "text") -> None:
+    """One flat file for each partition of ``docs``, its rows in partition order, and one of their names.
 
-    The text writer's line end is set to the separator's two bytes.
+    The text writer's line end is set to the separator's two bytes. Both files of a partition
+    are written and committed by one task, below the folders IDS and NAMES.
     """
-    ids = docs.select(F.col(text).cast("string")).mapInArrow(encode_rows(tokenizer), "ids binary")
+    # Base 64 keeps the line end out of names.
+    name = F.base64(F.col(id).cast("string").cast("binary"))
+    rows = docs.select(name.alias("name"), F.col(text).cast("string").alias("text")).mapInArrow(encode_rows(tokenizer), ENCODED)
+    ending = int(separator).to_bytes(2, "little").decode("latin-1")
+    (
+        rows.sortWithinPartitions("kind", "nth").select("kind", F.col("value").cast("string").alias("value"))
+        .write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", ending).text(path)
+    )
+
+
+def read_names(spark: SparkSession, path: str, kind: str, separator: int = SEPARATOR) -> DataFrame:
+    """doc_id, file number and place of each row that ``write_flat`` wrote below ``path``; ids have the type ``kind``."""
     ending = int(separator).to_bytes(2, "little").decode("latin-1")
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", ending).text(path)
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", ending).text(f"{path}/kind={NAMES}")
+    place = F.split("value", ":")
+    return lines.select(
+        F.unbase64(F.get(place, F.lit(1))).cast("string").cast(kind).alias("doc_id"),
+        F.split("_metadata.file_name", "-")[1].cast("int").alias("part"),
+        place[0].cast("long").alias("nth"),
+    )
 
 
 def block_summary(block: np.ndarray, separator: int) -> tuple[np.ndarray, int, int]:
@@ -98,13 +129,12 @@ def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, blo
 def document_counts(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``docs`` as flat files, scans them, and gives each count its id back.
 
-    The files hold no ids of documents: a count belongs to the row at its place, the
-    row's partition and number in it. ``docs`` must be a plain scan, whose partitions are
-    the same each time.
+    The flat files hold no ids of documents: a count belongs to the row at its place. Places
+    are noted by the task that writes the file; ``docs`` is read once.
     """
-    write_flat(docs, path, tokenizer, text=text)
-    place = F.monotonically_increasing_id()
-    rows = docs.select(F.col(id).alias("doc_id"), place.alias("_p")).select(
-        "doc_id", F.shiftright("_p", 33).cast("int").alias("part"), F.col("_p").bitwiseAND((1 << 33) - 1).alias("nth")
-    )
-    return rows.join(count_tokens(docs.sparkSession, path), ["part", "nth"]).select("doc_id", "n_tokens", "part", "start")
+    write_flat(docs, path, tokenizer, id=id, text=text)
+    spark = docs.sparkSession
+    if docs.isEmpty():
+        return spark.createDataFrame([], f"doc_id {docs.schema[id].dataType.simpleString()}, n_tokens long, part int, start long")
+    names = read_names(spark, path, docs.schema[id].dataType.simpleString())
+    return names.join(count_tokens(spark, f"{path}/kind={IDS}"), ["part", "nth"]).select("doc_id", "n_tokens", "part", "start")
