@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from updraft.llm import jaccard_join, lm_scoring, topk
 from updraft.llm.elias_fano import EliasFano, Trie
@@ -85,6 +86,17 @@ def test_join_of_odd_and_no_documents(spark, odd, none):
     assert jaccard_join.link(none).count() == 0
 
 
+def test_representatives_are_chosen_row_by_row(spark):
+    t, u, v, w = (" ".join(f"{x}{i}" for i in range(12)) for x in "tuvw")
+    rows = [(5, t), (5, t), (6, t), (None, t), (7, t), (7, u), (None, v), (None, v), (8, w), (8, w), (None, None), (None, None), (9, None), (9, None), (10, " ")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _extra string")
+    kept = jaccard_join.representatives(docs, words=3, percent=90)
+    want = [(5, t), (7, u), (None, v), (8, w), (None, None), (None, None), (9, None), (10, " ")]
+    assert kept.columns == docs.columns and sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(str(Row(doc_id=i, text=x)) for i, x in want)
+    plain = docs.where("doc_id in (6, 10)").unionByName(docs.where("doc_id = 6").selectExpr("doc_id - 4 AS doc_id", "text", "_extra"))
+    assert {r["doc_id"] for r in jaccard_join.representatives(plain, words=3, percent=90).collect()} == {2, 10}
+
+
 @pytest.mark.parametrize("bits", [64, 1 << 13])
 def test_tree_with_exact_and_with_shared_bits(monkeypatch, bits):
     monkeypatch.setattr("updraft.llm.signature_tree.MOST_BITS", bits)

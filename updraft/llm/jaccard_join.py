@@ -209,11 +209,35 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = W
     return placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def representatives(docs: DataFrame, id: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` with one row of each component kept: the one with its smallest id.
+def hinted(rows: DataFrame) -> DataFrame:
+    """``rows`` with a broadcast hint while few enough are counted."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    Rows with equal id and text are one document and are kept once; rows without id are kept.
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """``docs`` with one row of each component kept: the first by id, NULL ids last, then by the text's hash.
+
+    Decided row by row: rows with equal id and text are one document and are kept once, one
+    id's different texts are documents of their own. Rows without id and without words are all kept.
     """
-    parts = link(docs, id=id, **settings)
-    gone = parts.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, docs[id] == gone["doc_id"], "left_anti")
+    own, body = F.col(id).cast("long"), F.col(text).cast("string")
+    repeated = stored(docs.where(own.isNotNull()).groupBy(own.alias("_of")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_of"), "repeated")
+    wordless = F.coalesce(F.translate(body, " \t\n\x0b\x0c\r", "") == "", F.lit(True))
+    marked = docs.join(hinted(repeated), own == F.col("_of"), "left").withColumns({
+        "_odd": F.col("_of").isNotNull() | (own.isNull() & ~wordless),
+        # A row is known by its id or, where that is not its own, by a hash of id and text.
+        "_row": F.when(F.col("_of").isNull() & own.isNotNull(), own).otherwise(F.xxhash64(own, body)),
+    }).drop("_of")
+    given = marked.select("_row", "_odd", own.alias("_id"), body.alias("_text"))
+    odd = stored(given.where("_odd").groupBy("_row").agg(F.first("_id").alias("_id"), F.first("_text").alias("_text")), "odd")
+    once = given.where("not _odd and _id is not null").select("_row", "_text").unionByName(odd.select("_row", "_text"))
+    parts = stored(link(once, id="_row", text="_text", **settings).select(F.col("doc_id").alias("_row"), "component_id"), "parts")
+    if odd.isEmpty():
+        gone = parts.where("_row <> component_id").select("_row")
+    else:
+        named = parts.join(hinted(odd.select("_row", "_id", F.lit(True).alias("_known"))), "_row", "left")
+        named = named.withColumn("_id", F.when(F.col("_known"), F.col("_id")).otherwise(F.col("_row")))
+        first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        gone = named.join(first, "component_id").where("_row <> _m._row").select("_row")
+    kept = marked.join(gone, "_row", "left_anti")
+    return kept.where("not _odd").unionByName(kept.where("_odd").dropDuplicates(["_row"])).select(*docs.columns)
