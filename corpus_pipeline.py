@@ -49,7 +49,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, position, start, n_tokens and ids_crc32 of each document in the token files."""
     ship(spark)
     path = shared_path(spark, "shards")
-    seekable.write(docs, path, TOKENIZER, order=arrival(docs))
+    seekable.write(docs, path, TOKENIZER, order=arrival(docs), literal=False)
     return seekable.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -46,6 +46,23 @@ def test_shards_round_trip(spark, odd, none, tmp_path):
     assert seekable.read(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_token_files_hold_the_ids_of_the_plain_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from updraft.llm.queries import op6_seekable_frames
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y \x1f z", "plain words", *ODD]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(TOKENIZER)
+    ids = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    want = {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+    stored = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for out in (op6_seekable_frames(spark, str(tmp_path)), corpus_pipeline.tokens(spark, stored, str(tmp_path))):
+        assert {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out.collect()} == want
+
+
 def test_shard_is_seekable_and_checked():
     import zstandard
 

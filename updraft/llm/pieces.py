@@ -5,6 +5,9 @@ or line feed that a non-space follows, and between a letter or digit and a mark
 punctuation. So a text may be cut there, and the ids of its pieces are the ids of the
 text. Texts are cut and their pieces counted into a dictionary by Arrow; only distinct
 pieces that the worker's bounded cache lacks are given to the library.
+
+With ``literal`` the content of a special token in a text is encoded like any other characters. Without,
+it becomes that token, as the library does it, and such a text is encoded uncut.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ ANY_SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 ODD = rf"[ \n](?:[{ANY_SPACE}]|$)"
 BEFORE_SPACE = rf"([ \n])([^{ANY_SPACE}])"
 BEFORE_MARK = r"([A-Za-z0-9])([.,!?;:|])"
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def cut(texts: pa.Array) -> pa.ListArray:
@@ -41,12 +44,15 @@ def cut(texts: pa.Array) -> pa.ListArray:
 class PieceEncoder:
     """Encodes Arrow arrays of texts to unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # With ``literal`` only tokens that are not special are still found in texts.
+        self.added = [t.content for t in added if not (literal and t.special)]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # Letters alone after a space are one pre-token, so a cut at spaces is all they need.
         self.words = Tokenizer.from_file(path)
@@ -57,11 +63,11 @@ class PieceEncoder:
         self.old: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> PieceEncoder:
+    def of(cls, path: str, literal: bool = True) -> PieceEncoder:
         """The encoder of this worker process."""
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+        if (path, literal) not in _encoders:
+            _encoders[path, literal] = cls(path, literal)
+        return _encoders[path, literal]
 
     def forget(self) -> None:
         """Empties the cache, so that an idle worker holds no more than the vocabulary."""
@@ -119,10 +125,15 @@ class PieceEncoder:
         texts = pc.fill_null(texts.cast(pa.string()), "")
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         marked = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        uncut = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            uncut |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        marked = marked | uncut
         first = 0
         while first < len(texts):
             if marked[first] or sizes[first] > GROUP_BYTES:
-                yield self.long(texts[first].as_py())
+                text = texts[first].as_py()
+                yield self.whole([text])[0] if uncut[first] else self.long(text)
                 first += 1
                 continue
             last, total = first, 0

@@ -47,7 +47,7 @@ def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     path = shared_path(spark, "shards")
-    seekable.write(read(spark, sf_dir, "documents"), path, TOKENIZER)
+    seekable.write(read(spark, sf_dir, "documents"), path, TOKENIZER, literal=False)
     return seekable.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -100,9 +100,9 @@ class ShardReader:
         return np.frombuffer(content, dtype=self.dtype).astype("<u4")
 
 
-def make_shards(tokenizer: str, end_id: int, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def make_shards(tokenizer: str, end_id: int, shard_bytes: int, literal: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(tokenizer)
+        encoder = PieceEncoder.of(tokenizer, literal)
         wide = max(encoder.vocabulary, end_id + 1) > 1 << 16
         end = np.array([end_id], dtype="<u4")
         shard = Shard(wide)
@@ -125,18 +125,19 @@ def make_shards(tokenizer: str, end_id: int, shard_bytes: int) -> Callable[[Iter
 
 def write(
     docs: DataFrame, path: str, tokenizer: str, order: Sequence[Column] | None = None,
-    end_id: int = END_ID, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES,
+    end_id: int = END_ID, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, literal: bool = True,
 ) -> None:
     """Encode ``docs`` in the order of ``order`` (the id, if none) into shards below ``path``.
 
-    Rows are range partitioned by that order, so file names ascend with it.
+    Rows are range partitioned by that order, so file names ascend with it. Special tokens
+    written out in a text are plain characters where ``literal``, else those tokens.
     """
     keys = list(order) if order else [F.col(id)]
     rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     # The id breaks ties of another order; the text's hash parts copies of one id among tasks.
     by = [*(f"_k{i}" for i in range(len(keys))), *(["_id"] if order else []), F.xxhash64("_text")]
     ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("_id", "_text")
-    shards = ordered.mapInArrow(make_shards(tokenizer, end_id, shard_bytes), "shard binary")
+    shards = ordered.mapInArrow(make_shards(tokenizer, end_id, shard_bytes, literal), "shard binary")
     closing = struct.pack("<I", SEEK_MAGIC).decode("latin-1")
     (
         shards.select(F.col("shard").cast("string").alias("value"))

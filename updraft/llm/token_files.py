@@ -35,7 +35,8 @@ def encode_rows(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     """For each row its ids, and its name with its place among the rows of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(tokenizer)
+        # The end id must not arise inside a document.
+        encoder = PieceEncoder.of(tokenizer, literal=True)
         if encoder.vocabulary > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         first = 0
