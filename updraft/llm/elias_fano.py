@@ -20,6 +20,7 @@ import numpy as np
 
 U64 = np.uint64
 QUANTUM = 1 / 2048
+PACKED = 1 << 16
 BYTE_ONES = np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int64)
 # SELECT[b, k]: place of the k-th one (from 0) of byte b.
 SELECT = np.zeros((256, 8), dtype=np.int64)
@@ -29,9 +30,17 @@ for _k in range(8):
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
     """``width`` low bits of each value, one after another, in 64-bit words."""
-    bits = ((values[:, None] >> np.arange(width, dtype=U64)) & U64(1)).astype(np.uint8)
-    flat = np.packbits(bits.ravel(), bitorder="little")
-    return np.concatenate([flat, np.zeros(-len(flat) % 8 + 8, np.uint8)]).view(U64)
+    words = np.zeros(len(values) * width // 64 + 2, U64)
+    mask = U64((1 << width) - 1)
+    for begin in range(0, len(values), PACKED):
+        part = values[begin : begin + PACKED] & mask
+        bit = np.arange(begin, begin + len(part), dtype=np.int64) * width
+        word, shift = bit >> 6, (bit & 63).astype(U64)
+        # Bits of different values never meet, so adding a word's pieces up is an OR of them.
+        for place, piece in ((word, part << shift), (word + 1, np.where(shift > 0, part >> ((U64(64) - shift) & U64(63)), U64(0)))):
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            words[place[first]] |= np.bitwise_or.reduceat(piece, first)
+    return words
 
 
 def unpack(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:

@@ -41,6 +41,7 @@ from updraft.llm.words import mix, scan
 BROADCAST_WORDS = 1 << 18
 SHARD_TOKENS = 4_000_000
 GATHERED = 1_000_000
+LOOKED_UP = 1 << 18
 MU = 4.0
 OTHER, END, FIRST = 0, 1, 2
 U64 = np.uint64
@@ -199,12 +200,16 @@ def pack_occurrences(
     """
     rare = np.unique(np.concatenate([before[before >= size], word[word >= size]]))
     before, word = (np.where(x >= size, size + np.searchsorted(rare, x), x).astype(np.int64) for x in (before, word))
-    order = np.lexsort((word, before))
-    used, local = np.unique(text[order], return_inverse=True)
-    steps = np.diff(before[order], prepend=0)
+    order = np.lexsort((text, word, before))
+    before, word, text = before[order], word[order], text[order]
+    # A bigram counts once for each text that holds it, with its number there.
+    fresh = np.flatnonzero((np.diff(before, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    times = np.diff(np.append(fresh, len(order)))
+    used, local = np.unique(text[fresh], return_inverse=True)
+    steps = np.diff(before[fresh], prepend=0)
     parts = [
-        np.array([len(order), len(used)], np.int64).tobytes(), keys[used].tobytes(), training[used].astype(np.uint8).tobytes(),
-        planes(steps.astype(np.uint32)), planes(word[order].astype(np.uint32)), planes(local.astype(np.uint32)),
+        np.array([len(fresh), len(used)], np.int64).tobytes(), keys[used].tobytes(), training[used].astype(np.uint8).tobytes(),
+        *(planes(x.astype(np.uint32)) for x in (steps, word[fresh], local, times)),
     ]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts)), rare.tobytes()
 
@@ -216,8 +221,8 @@ def unpack_occurrences(blob: bytes) -> tuple[np.ndarray, ...]:
     at = 16 + 8 * used
     training = np.frombuffer(data[at : at + used], np.uint8)
     at += used
-    steps, word, local = (unplanes(data[at + i * 4 * n : at + (i + 1) * 4 * n], np.uint32, n) for i in range(3))
-    return keys, training, local.astype(np.int64), np.cumsum(steps.astype(np.int64)), word.astype(np.int64)
+    steps, word, local, times = (unplanes(data[at + i * 4 * n : at + (i + 1) * 4 * n], np.uint32, n) for i in range(4))
+    return keys, training, local, np.cumsum(steps, dtype=np.int64), word, times
 
 
 def spread(words: Dictionary, shards: int) -> np.ndarray:
@@ -276,6 +281,13 @@ def shard_trie(before: np.ndarray, word: np.ndarray, counts: np.ndarray, unigram
     ).mapped()
 
 
+def emptied(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; the list gives them up."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
 def score_shard(words: Dictionary, buckets: int) -> Callable[[pa.Table], pa.Table]:
     """For each text of a shard's occurrences the sum of their log10 probabilities, packed by buckets of texts.
 
@@ -283,29 +295,29 @@ def score_shard(words: Dictionary, buckets: int) -> Callable[[pa.Table], pa.Tabl
     """
 
     def run(table: pa.Table) -> pa.Table:
-        keys, training, text, bigram, shift = [], [], [], [], 0
+        keys, training, text, times, bigram, shift = [], [], [], [], [], 0
         packed = np.flatnonzero(table["blob"].is_valid().to_numpy())
         own_rare = [np.frombuffer(table["rare"][int(i)].as_py(), U64) for i in packed]
         rare = np.unique(np.concatenate(own_rare))
         vocabulary = words.size + len(rare)
         for i, hashes in zip(packed, own_rare):
-            own, learned, local, before, word = unpack_occurrences(table["blob"][int(i)].as_py())
+            own, learned, local, before, word, often = unpack_occurrences(table["blob"][int(i)].as_py())
             place = np.concatenate([np.arange(words.size), words.size + np.searchsorted(rare, hashes)])
-            before, word = place[before], place[word]
             keys.append(own)
             training.append(learned)
             text.append((local + shift).astype(np.int32))
-            bigram.append(before * vocabulary + word)
+            times.append(often)
+            bigram.append(place[before] * vocabulary + place[word])
             shift += len(own)
-        keys, training, text, bigram = (np.concatenate(x) for x in (keys, training, text, bigram))
+        keys, training, text, times, bigram = map(emptied, (keys, training, text, times, bigram))
         order = np.argsort(bigram)
-        bigram, text = bigram[order], text[order]
+        bigram, text, times = bigram[order], text[order], times[order]
         del order
         fresh = np.flatnonzero(np.diff(bigram, prepend=-1))
         before, word = np.divmod(bigram[fresh], vocabulary)
         sizes = np.diff(np.append(fresh, len(bigram)))
         del bigram
-        seen = np.add.reduceat(training[text], fresh, dtype=np.int64)
+        seen = np.add.reduceat(training[text] * times, fresh, dtype=np.int64)
         # A rare word's bigrams are all in this shard, so its count as a first word is their sum.
         totals = np.concatenate([words.counts, np.bincount(before, weights=seen, minlength=vocabulary)[words.size :]])
         counted = table.select(["h", "c"]).filter(table["h"].is_valid())
@@ -318,9 +330,12 @@ def score_shard(words: Dictionary, buckets: int) -> Callable[[pa.Table], pa.Tabl
         if learned.any():
             trie = shard_trie(before[learned], word[learned], seen[learned], unigram, totals)
             contexts, each = np.unique(before, return_inverse=True)
-            at = trie.child(1, trie.child(0, np.zeros(len(contexts), np.int64), contexts)[each], word)
-            quanta[at >= 0] = trie.quanta(2, at[at >= 0])
-        sums = np.bincount(text, weights=np.repeat(quanta, sizes), minlength=len(keys)).astype(np.int64)
+            parent = trie.child(0, np.zeros(len(contexts), np.int64), contexts)
+            for begin in range(0, len(word), LOOKED_UP):
+                part = slice(begin, begin + LOOKED_UP)
+                at = trie.child(1, parent[each[part]], word[part])
+                quanta[part][at >= 0] = trie.quanta(2, at[at >= 0])
+        sums = np.bincount(text, weights=np.repeat(quanta, sizes) * times, minlength=len(keys)).astype(np.int64)
         bucket = (mix(keys.view(U64)) % U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
