@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from updraft.llm import decontaminate, quality, secrets, urls
@@ -44,15 +45,33 @@ def test_url_rules_and_terms(spark):
         ("http://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
         ("http://x.org", "x.org", "", None, "allow"), ("http://notorg/a", "notorg", "/a", None, "allow"), ("http://a.com/de/x#y", "a.com", "/de/x", "com/de/", "block"),
         ("http://free-bets.example.net/", "free-bets.example.net", "/", None, "block"), ("http://casino.net/", "casino.net", "/", None, "block"),
-        ("http://casinoble.net/free", "casinoble.net", "/free", None, "allow"), ("no scheme casino", "", "", None, "allow"), (None, "", "", None, "allow"), ("", "", "", None, "allow"),
+        ("http://casinoble.net/free", "casinoble.net", "/free", None, "allow"), ("no scheme casino", "", "", None, "block"), ("//free.example.net/Bets", "", "", None, "block"), ("org/", "", "", None, "allow"), (None, "", "", None, "allow"), ("", "", "", None, "allow"),
         ("http://a.net/" + "x/" * 50_000 + "porn", "a.net", "/" + "x/" * 50_000 + "porn", None, "block"),
     ]
     pages = spark.createDataFrame([(i, r[0], "clash") for i, r in enumerate(rows)], "page_id long, url string, verdict string")
     out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(pages).collect()}
     assert out == {i: r[1:] for i, r in enumerate(rows)}
+    assert urls.judge(pages.unionByName(pages)).count() == 2 * len(rows)
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_vocabulary_from_a_table(spark):
+    rows = [*((f"Bad{i:05d}", "strict") for i in range(10_000)), *((f"meh{i:05d}", "soft") for i in range(10_000)), ("meh00001", "soft"), ("bad00007", "soft")]
+    table = spark.createDataFrame(rows, "term string, kind string")
+    strict, soft = urls.terms_of(table)
+    assert (len(strict), len(soft)) == (10_000, 10_000)
+    asked = ["http://a.net/bad09999", "http://a.net/xbad09999", "http://a.net/meh00001/meh00002", "http://a.net/meh00001/meh00001", "http://a.net/bad00007"]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    got = urls.judge(pages, strict=strict, soft=soft).orderBy("page_id")
+    assert [r["verdict"] for r in got.collect()] == ["block", "allow", "block", "allow", "block"]
+    assert urls.terms_of(table.limit(0)) == ([], [])
+    for odd in ([("", "soft")], [(None, "soft")], [("x", "hard")], [("x", None)]):
+        with pytest.raises(ValueError):
+            urls.terms_of(spark.createDataFrame(odd, "term string, kind string"))
+    with pytest.raises(ValueError):
+        urls.terms_of(table, most_bytes=1000)
+
+
 def test_leaks_equal_brute_force(spark, odd):
     rnd = random.Random(4)
     items = [" ".join(rnd.choice("abcdefghij") + str(rnd.randrange(30)) for _ in range(n)) for n in (1, 3, 4, 5, 6, 9, 20, 33, 60)]

@@ -21,9 +21,9 @@ def test_top_k_with_ties_and_unusable_vectors(spark):
     rows = [(i, [rnd.choice([-0.5, 0.0, 0.25, 1.0]) for _ in range(4)]) for i in range(400)]
     bad = [(1000, None), (1100, []), (1200, [1.0, None, 0.0, 0.0]), (1300, [float("nan")] * 4), (1400, [float("inf")] * 4), (None, [1.0] * 4)]
     vectors = topk.integer_vectors(spark.createDataFrame([*rows, *bad], "vec_id long, embedding array<float>"), "vec_id", "embedding")
-    ints = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows}
+    ints = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows} | {1100: np.zeros(4, int)}
     want = set()
-    for q in range(0, 400, 100):
+    for q in [*range(0, 400, 100), 1100]:
         best = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q)[:10]
         want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
     for blocks in ({}, {"query_block": 2, "candidate_block": 37}):

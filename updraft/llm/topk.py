@@ -8,8 +8,8 @@ Queries are dealt into blocks too; every pair of a query block and a candidate
 block is one task, so memory is bounded by the block sizes whatever the tables hold.
 All arithmetic is on 64-bit integers.
 
-Vectors that are NULL, empty or hold a NULL or non-finite component take no part,
-nor do rows without id. A query meets every row with another id. Equal scores go to the
+Vectors that are NULL or hold a NULL or non-finite component take no part, nor do rows
+without id; an empty vector scores 0 with every other. A query meets every row with another id. Equal scores go to the
 smaller id. Repeated candidate rows are separate candidates; of several query rows
 with one id the smallest vector asks. Fewer than k candidates give fewer rows, empty
 tables none. Missing components count as zero. Other columns are not read.
@@ -31,7 +31,7 @@ def integer_vectors(vectors: DataFrame, id: str, vector: str, scale: int = 1024)
     """(vec_id, v): each component x as floor(scale * x), x as double."""
     x = F.transform(vector, lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    usable = F.col(id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
+    usable = F.col(id).isNotNull() & F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True))
     return vectors.where(usable).select(
         F.col(id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v")
     )

@@ -6,7 +6,8 @@ automaton: one strict term, or ``soft_limit`` distinct soft terms, block it. A t
 counts only where no ASCII letter or digit touches it on either side.
 
 Rows stay as they are, one out for one in. A NULL URL or one without ``://`` has an
-empty host and path, fits no rule and is allowed; it has no terms to count.
+empty host and path and fits no rule; its terms are counted all the same, and a NULL one has none.
+A vocabulary may be a table (``terms_of``); each worker builds one automaton from it.
 Extra columns pass through unless they carry the name of a result column, which
 then replaces them. Very long URLs are searched whole, in one pass.
 """
@@ -38,7 +39,9 @@ SOFT_TERMS = (
     "slots", "torrent", "track", "tracker", "tracking", "win",
 )
 SOFT_LIMIT = 2
+VOCABULARY_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FOLD = str.maketrans(UPPER, LOWER)
 WORD = frozenset(LOWER + "0123456789")
 
 
@@ -65,7 +68,7 @@ def automaton(terms: Sequence[str]) -> ahocorasick.Automaton:
 
 def distinct_terms(text: str, terms: ahocorasick.Automaton) -> set[str]:
     """Terms of the automaton in ``text`` with no letter or digit next to them."""
-    text, found = text.translate(str.maketrans(UPPER, LOWER)), set()
+    text, found = text.translate(FOLD), set()
     for end, term in terms.iter(text):
         begin = end + 1 - len(term)
         if (begin == 0 or text[begin - 1] not in WORD) and (end + 1 == len(text) or text[end + 1] not in WORD):
@@ -73,6 +76,24 @@ def distinct_terms(text: str, terms: ahocorasick.Automaton) -> set[str]:
     return found
 
 
+def terms_of(table: DataFrame, term: str = "term", kind: str = "kind", most_bytes: int = VOCABULARY_BYTES) -> tuple[list[str], list[str]]:
+    """Strict and soft terms of a table with ``kind`` strict or soft, lower-cased, for ``judge``.
+
+    Every worker holds the vocabulary, so its size is checked first and a larger one refused. Rows
+    without term or with another kind are errors of the table and refused too; repeated ones count once.
+    """
+    low = F.translate(F.col(term), UPPER, LOWER)
+    rows = table.select(low.alias("term"), F.col(kind).alias("kind")).distinct()
+    size = rows.agg(F.sum(F.octet_length("term")).alias("bytes"), F.count_if(~F.coalesce((F.col("term") != "") & F.col("kind").isin("strict", "soft"), F.lit(False))).alias("bad")).first()
+    if size["bad"]:
+        raise ValueError(f"{size['bad']} rows are no strict or soft term")
+    if (size["bytes"] or 0) > most_bytes:
+        raise ValueError(f"a vocabulary of {size['bytes']} bytes is beyond {most_bytes}")
+    found = rows.collect()
+    strict = {r["term"] for r in found if r["kind"] == "strict"}
+    return sorted(strict), sorted({r["term"] for r in found} - strict)
+
+
 def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] = PAGE_RULES,
@@ -102,8 +123,7 @@ def judge(
         here = fits(F.col("host"), F.col("path"), rule_host, rule_path)
         rule = F.when(here, F.lit(rule_host + rule_path)).otherwise(rule)
         verdict = F.when(here, F.lit(says)).otherwise(verdict)
-    searched = F.when(F.col(url).contains("://"), F.col(url))
-    judged = parts.withColumns({"rule": rule, "_verdict": verdict, "_terms": count_terms(searched)})
+    judged = parts.withColumns({"rule": rule, "_verdict": verdict, "_terms": count_terms(F.col(url))})
     rejects = (F.col("_terms.n_strict") >= 1) | (F.col("_terms.n_soft") >= soft_limit)
     return judged.withColumns({
         "verdict": F.coalesce("_verdict", F.when(rejects, "block").otherwise("allow")),
