@@ -39,7 +39,7 @@ from updraft.llm.tables import stored
 from updraft.llm.words import mix, scan
 
 BROADCAST_WORDS = 1 << 18
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 GATHERED = 1_000_000
 LOOKED_UP = 1 << 18
 MU = 4.0
