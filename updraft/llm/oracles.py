@@ -201,11 +201,44 @@ def merkle_sql(source_levels: int = 5, top_levels: int = 3) -> str:
     FROM w{len(sides)}"""
 
 
+PHRASES = r"""
+WITH pieces AS (
+    SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL
+),
+split AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS MATERIALIZED (
+    SELECT lang, k, phrase, count(*)::hugeint AS f FROM (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        FROM split, range(1, 4) AS x(k) WHERE len(w) >= k
+    ) GROUP BY ALL
+),
+sizes AS (SELECT lang, sum(f)::bigint AS n FROM grams WHERE k = 1 GROUP BY lang),
+cuts AS (
+    SELECT g.lang, g.k, g.phrase, g.f AS a, c, array_to_string(string_split(g.phrase, ' ')[1:c], ' ') AS head, array_to_string(string_split(g.phrase, ' ')[c + 1:], ' ') AS rest
+    FROM grams g, range(1, 3) AS x(c) WHERE g.k >= 2 AND g.f >= 10 AND c < g.k
+),
+scored AS (
+    SELECT t.lang, t.k, t.phrase, t.a, l.f AS l, r.f AS r, (1000000::hugeint * t.a * t.a) // (l.f * r.f) AS score
+    FROM cuts t JOIN grams l ON l.lang = t.lang AND l.phrase = t.head JOIN grams r ON r.lang = t.lang AND r.phrase = t.rest
+    QUALIFY row_number() OVER (PARTITION BY t.lang, t.phrase ORDER BY score, t.c) = 1
+),
+inner_pairs AS (
+    SELECT lang, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase, a FROM scored WHERE k = 3
+),
+longest AS (SELECT lang, phrase, max(a) AS most FROM inner_pairs GROUP BY ALL),
+ranked AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+    FROM scored LEFT JOIN longest USING (lang, phrase) WHERE k = 3 OR coalesce(100 * most < 50 * a, true)
+)
+SELECT lang, rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, n, score::bigint AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""
+
 ORACLES = {
     "op1_secret_ownership": secret_sql(),
     "op4_minhash_containment": CONTAINMENT,
     "op7_exhaustive_topk": TOPK,
     "op8_url_vocabulary": url_sql(),
     "op9_signature_tree_join": JACCARD,
+    "op12_branch_and_bound_phrases": PHRASES,
     "op13_merkle_manifest": merkle_sql(),
 }
