@@ -116,15 +116,17 @@ scored AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score
 FROM scored QUALIFY rank <= 10"""
 
-JACCARD = r"""
+def jaccard_sql(words: int, percent: int) -> str:
+    """Links of all pairs with a common shingle, and what can be reached by them."""
+    return rf"""
 WITH RECURSIVE words AS MATERIALIZED (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
     FROM documents
 ),
 shingles AS MATERIALIZED (
     SELECT DISTINCT doc_id, s FROM (
-        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-            ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM words
+        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i:i + {words} - 1], ' ')) END) AS s FROM words
     )
 ),
 sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
@@ -132,7 +134,7 @@ pairs AS MATERIALIZED (
     SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
 ),
 links AS MATERIALIZED (
-    SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)
+    SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * o >= {percent} * (a.n + b.n - o)
 ),
 reach AS (
     SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
@@ -140,6 +142,7 @@ reach AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)"""
 
+
 def merkle_sql(source_levels: int = 5, top_levels: int = 3) -> str:
     """The tree level by level; a part of one node is passed on as it is. ``source_levels``: enough for 16 ** 5 rows of a source."""
     field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::varchar) || ':' || {c}::varchar END"
@@ -238,7 +241,8 @@ ORACLES = {
     "op4_minhash_containment": CONTAINMENT,
     "op7_exhaustive_topk": TOPK,
     "op8_url_vocabulary": url_sql(),
-    "op9_signature_tree_join": JACCARD,
+    "op9_signature_tree_join": jaccard_sql(3, 90),
+    "op11_b_bit_minhash": f"SELECT *, doc_id = component_id AS kept FROM ({jaccard_sql(2, 80)})",
     "op12_branch_and_bound_phrases": PHRASES,
     "op13_merkle_manifest": merkle_sql(),
 }

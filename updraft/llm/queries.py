@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from updraft.llm import decontaminate, jaccard_join, lm_scoring, merkle, mixing, phrases, quality, seekable, secrets, token_files, topk, urls
+from updraft.llm import decontaminate, jaccard_join, lm_scoring, merkle, minhash_links, mixing, phrases, quality, seekable, secrets, token_files, topk, urls
 from updraft.llm.tables import crc32_of_id, read, shared_path, ship
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +72,11 @@ def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read(spark, sf_dir, "documents"), held_out_of(5, 1))
 
 
+def op11_b_bit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return minhash_links.link(read(spark, sf_dir, "documents"))
+
+
 def op12_branch_and_bound_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return phrases.mine(read(spark, sf_dir, "documents"))
@@ -94,6 +99,7 @@ QUERIES = {
     "op8_url_vocabulary": op8_url_vocabulary,
     "op9_signature_tree_join": op9_signature_tree_join,
     "op10_elias_fano_lm": op10_elias_fano_lm,
+    "op11_b_bit_minhash": op11_b_bit_minhash,
     "op12_branch_and_bound_phrases": op12_branch_and_bound_phrases,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
