@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from updraft.llm import bitmaps
 from updraft.llm.components import components
 from updraft.llm.tables import stored
 from updraft.llm.words import mix, scan, shingle_set
@@ -225,7 +226,7 @@ def linked(members: DataFrame, bodies: DataFrame, rule: Signatures | Sets, limit
     totals = stored(members.groupBy("grp").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("members")).where("members > 1"), "totals")
     sized = stored(members.join(totals, "grp"), "sized")
     small = sized.where(F.col("total") <= limit)
-    bins = max(1, -(-(small.agg(F.sum("weight")).first()[0] or 0) // limit))
+    bins = max(1, -(-4 * (small.agg(F.sum("weight")).first()[0] or 0) // limit))
     plain = ["task", "grp", "id", "label", "asks"]
     of_bin = F.concat_ws("/", F.lit("bin"), F.pmod(F.xxhash64("grp"), F.lit(bins)))
     tasks = small.select(of_bin.alias("task"), "grp", "id", F.col("id").alias("label"), F.lit(True).alias("asks"))
@@ -275,24 +276,28 @@ def link(
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
     base = stored(rows.mapInArrow(sign(words), SIGNED), "signatures")
     same = ["n", "h1", "h2"]
-    classes = stored(base.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep")), "classes")
-    own = base.join(classes.where("rep is not null").withColumnRenamed("rep", "id"), [*same, "id"], "left_semi")
-    # A text of few shingles may still be long, so its bytes weigh too.
-    members = stored(own.dropDuplicates(same).select("id", (F.col("n") + F.expr("size div 16")).alias("weight"), "bits", "bands"), "members")
+    # Equal sets have equal bits and bands. A text of few shingles may still be long, so its bytes weigh too.
+    weight = (F.col("n") + F.max(F.expr("size div 16"))).alias("weight")
+    classes = stored(base.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep"), weight, F.first("bits").alias("bits"), F.first("bands").alias("bands")), "classes")
+    members = classes.where("rep is not null").select(F.col("rep").alias("id"), "weight", "bits", "bands")
     # Buckets with one member are dropped before anything is joined, and of buckets with the same members all but one.
-    dealt = members.select("id", F.explode("bands").alias("grp"))
-    held = dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    held = members.select("id", F.explode("bands").alias("grp")).groupBy("grp").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
+    )
     several = stored(held.where("c > 1").groupBy("c", "x", "y").agg(F.min("grp").alias("grp")).select("grp"), "several")
+    dealt = members.select("id", "bands").mapInArrow(bitmaps.exploded(bitmaps.of_longs(several, "grp")), "id long, grp long")
     buckets = stored(dealt.join(several, "grp").select("grp", "id", F.lit(1).cast("long").alias("weight")), "buckets")
     near = linked(buckets, members.select("id", F.col("bits").alias("body")), Signatures(percent), bucket_members)
     clusters = components(near).select("id", F.col("component").alias("grp"))
     sized = members.select("id", "weight").join(clusters, "id").select("grp", "id", "weight")
-    # Of the rows with a member's id those of its class are wanted, and one of them.
-    texts = rows.where("id is not null and body is not null")
-    confirmed = linked(stored(sized, "clusters"), texts, Sets(percent, words), block_weight)
+    sized = stored(sized, "clusters")
+    # Texts of no cluster go before the rest is shuffled.
+    wanted = bitmaps.filtered(bitmaps.of_longs(sized, "id"), 0)
+    texts = rows.where("id is not null and body is not null").mapInArrow(wanted, "id long, body binary")
+    confirmed = linked(sized, texts, Sets(percent, words), block_weight)
     parts = components(confirmed)
     joined = stored(
-        classes.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component")), "joined"
+        classes.select(*same, "rep").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component")), "joined"
     )
     placed = base.select("id", *same).join(joined, same, "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     return placed.select(

@@ -10,7 +10,7 @@ that could hold one of half its count are expanded as well. With ``top`` survivi
 or above the floor the language is settled, ties included: whatever was not expanded scores less. Else
 the rank is doubled and more is expanded, until nothing is left to expand.
 
-Which occurrences lie below the frontier is told by bitmaps of BITS bits, whatever the number of
+Which occurrences lie below the frontier is told by bitmaps of a fixed size, whatever the number of
 prefixes: a wrong bit makes a phrase counted in vain, and none is missed. All counts
 and joins after that are on the phrases themselves. Scores are integers from exact decimals.
 
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from updraft.llm import bitmaps
 from updraft.llm.tables import stored
 
 TOP = 2000
@@ -40,7 +41,6 @@ LEAST = 10
 # A candidate falls to a longer one with this share of its count, in hundredths.
 SHARE = 50
 SCALE = 1_000_000
-BITS = 1 << 26
 HELD = 300_000
 KNOWN = 400_000
 MERGED = 200_000
@@ -58,23 +58,17 @@ class Members(dict):
     def __missing__(self, phrase: bytes | tuple[bytes, ...]) -> bool:
         if len(self) >= KNOWN:
             self.clear()
-        at = zlib.crc32(phrase if isinstance(phrase, bytes) else b" ".join(phrase), self.lead) % BITS
+        at = zlib.crc32(phrase if isinstance(phrase, bytes) else b" ".join(phrase), self.lead) % bitmaps.BITS
         self[phrase] = found = bool(self.bits[at >> 3] >> (at & 7) & 1)
         return found
 
 
 def bit_of(lang: Column, phrase: Column) -> Column:
-    return F.crc32(F.concat(lang, F.lit("\n"), phrase).cast("binary")) % BITS
+    return F.crc32(F.concat(lang, F.lit("\n"), phrase).cast("binary")) % bitmaps.BITS
 
 
 def bitmap(phrases: DataFrame) -> np.ndarray:
-    """BITS bits, those of ``phrases`` (lang, phrase) set: at most BITS / 32768 rows of 4 kB reach the driver."""
-    at = phrases.select(bit_of(F.col("lang"), F.col("phrase")).alias("at"))
-    rows = at.groupBy(F.expr("at div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
-    out = np.zeros(BITS // 8, np.uint8)
-    for row in rows.toLocalIterator():
-        out[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return out
+    return bitmaps.built(phrases, bit_of(F.col("lang"), F.col("phrase")))
 
 
 def pieces(text: str) -> Iterator[list[bytes]]:
