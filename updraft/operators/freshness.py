@@ -49,7 +49,26 @@ def trading_calendar(
     up. One row per calendar day: the window below is bounded by the range.
     """
     bounds = F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 day"))
-    days = spark.range(1).select(F.explode(bounds).alias("day"))
+    return _open_days(spark.range(1).select(F.explode(bounds).alias("day")), holidays)
+
+
+# Days before the first date in which some day is open, whatever the holidays.
+LEAD_DAYS = 15
+
+
+def calendar_of(
+    df: DataFrame, date: Column, holidays: DataFrame | None = None, lead_days: int = LEAD_DAYS
+) -> DataFrame:
+    """The ``trading_calendar`` of the dates in ``df``, from ``lead_days`` before the first to the last.
+
+    Without dates it is empty.
+    """
+    ends = df.agg(F.min(date.cast("date")).alias("a"), F.max(date.cast("date")).alias("b"))
+    bounds = F.sequence(F.date_sub("a", lead_days), F.col("b"), F.expr("interval 1 day"))
+    return _open_days(ends.select(F.explode(bounds).alias("day")), holidays)
+
+
+def _open_days(days: DataFrame, holidays: DataFrame | None) -> DataFrame:
     if holidays is None:
         days = days.withColumn("is_open", F.weekday("day") < 5)
     else:

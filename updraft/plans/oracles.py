@@ -298,6 +298,17 @@ def _weekday_target(now: str) -> str:
     return f"""CASE isodow({base}) WHEN 6 THEN {base} - 1 WHEN 7 THEN {base} - 2 ELSE {base} END"""
 
 
+# Every open day from a supplier's first bar on, and whether the supplier has a bar on it.
+_BAR_DAYS = f"""
+    WITH shipped AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS d FROM lineitem),
+    open_days AS (
+      SELECT d, row_number() OVER (ORDER BY d) AS n FROM (
+        SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM shipped)
+      WHERE isodow(d) <= 5 AND d NOT IN ({", ".join(f"DATE '{d}'" for d in w.BAR_HOLIDAYS)})),
+    due AS (
+      SELECT f.code, o.d, o.n, EXISTS (SELECT 1 FROM shipped s WHERE s.code = f.code AND s.d = o.d) AS held
+      FROM (SELECT code, min(d) AS first FROM shipped JOIN open_days USING (d) GROUP BY code) f JOIN open_days o ON o.d >= f.first)"""
+
 _UNIVERSE = """
     SELECT CAST(o_custkey AS VARCHAR) AS code, arg_max(o_orderpriority, o_orderkey) AS name,
            arg_max(o_orderstatus, o_orderkey) AS market
@@ -394,6 +405,33 @@ ORACLES: dict[str, str] = {
     SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period, count(*) AS rows
     FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1""",
     "stream_upsert": _newest_quotes("", "date < DATE '1998-06-15'"),
+    "adjusted_bars": f"""
+    SELECT code, date, open * basis AS open,
+           close * basis * CASE WHEN CAST(code AS BIGINT) % 10 = 7 AND volume % 2 = 0 AND date >= DATE '{w.LOADS[-1][1]}' THEN 1.25 ELSE 1 END AS close,
+           CAST(volume / basis AS BIGINT) AS volume
+    FROM (SELECT *, {" * ".join(f"CASE WHEN CAST(code AS BIGINT) % {n} = 0 THEN {part} ELSE 1.0 END" for n, part in w.SPLITS.values())} AS basis
+          FROM ({SUPPLIER_WEEK}))""",
+    "screen_delta": screen_sql(PART_MONTH, w.LOOSE),
+    "stream_late_bars": f"""
+    WITH timed AS (
+      SELECT *, CAST(ts AS DATE) - (SELECT CAST(min(ts) AS DATE) FROM events) AS day FROM events),
+    judged AS (SELECT *, event_id % {w.LATE_EVERY} = 0 AND day < {w.PART_DAYS} AS late FROM timed)
+    SELECT event_type AS code, CAST(ts AS DATE) AS date, arg_min(value, (ts, event_id)) AS open,
+           arg_max(value, (ts, event_id)) AS close, count(*) AS volume, (SELECT count(*) FROM judged WHERE late) AS late_rows
+    FROM judged WHERE NOT late GROUP BY ALL""",
+    "bar_gaps": _BAR_DAYS + """
+    , missing AS (
+      SELECT code, d, n - row_number() OVER (PARTITION BY code ORDER BY d) AS island FROM due WHERE NOT held)
+    SELECT code, min(d) AS gap_from, max(d) AS gap_to, count(*) AS missing, max(d) = (SELECT max(d) FROM open_days) AS trailing
+    FROM missing GROUP BY code, island""",
+    "bar_runs": _BAR_DAYS + """
+    , present AS (
+      SELECT code, d, n - row_number() OVER (PARTITION BY code ORDER BY d) AS island FROM due WHERE held)
+    SELECT code, min(d) AS run_from, max(d) AS run_to, count(*) AS bars FROM present GROUP BY code, island""",
+    "asof_bars": f"""
+    WITH bars AS (SELECT * FROM ({SUPPLIER_WEEK}) WHERE volume % 3 = 0),
+    lines AS (SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS shipped FROM lineitem)
+    SELECT l.*, b.date, b.close, b.volume FROM lines l ASOF LEFT JOIN bars b ON l.code = b.code AND l.shipped >= b.date""",
     "notify_ledger": """
     SELECT DISTINCT l_returnflag AS metric, CAST(l_shipdate AS DATE) AS data_date
     FROM lineitem l
@@ -429,8 +467,8 @@ ORACLES: dict[str, str] = {
     WITH days AS (
       SELECT CAST(d AS DATE) AS day,
              isodow(d) <= 5 AND CAST(d AS DATE) NOT IN ({_HOLIDAY_LIST}) AS is_open
-      FROM (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-02-10',
-              INTERVAL 1 DAY)) AS d))
+      FROM (SELECT unnest(generate_series(CAST(min(ts) AS DATE) - 7, CAST(max(ts) AS DATE),
+              INTERVAL 1 DAY)) AS d FROM events))
     SELECT day, is_open,
            (SELECT max(b.day) FROM days b WHERE b.is_open AND b.day <= a.day) AS last_open_day,
            (SELECT count(*) FROM events WHERE CAST(ts AS DATE) = a.day) AS events

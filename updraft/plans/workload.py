@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from updraft.config import ScreenConfig
 from updraft.operators import freshness, ingest, themes, views
+from updraft.operators.asof import asof_lookup
+from updraft.operators.gaps import bar_gaps, bar_runs
 from updraft.operators.grid import config_grid
 from updraft.operators.screening import find_hits, rank_hits
 from updraft.operators.streaks import streak_lengths, streak_metrics
@@ -26,11 +28,14 @@ from updraft.plans.pages import screener_view
 from updraft.plans.screening import published_screen, screen, screen_recent_first
 from updraft.session import scratch_dir
 from updraft.sinks import ledger
+from updraft.sinks.load_log import LoadLog, read_adjusted, upsert_rebased
 from updraft.sinks.price_store import PriceStore
 from updraft.sinks.results import ResultStore, result_name, write_csv, write_parquet
+from updraft.sinks.streak_state import StreakState
 from updraft.sinks.theme_reports import write_theme_reports
 from updraft.sources.theme_reports import read_theme_reports, theme_report_dates
 from updraft.sources.universe import read_listing, read_universe
+from updraft.streaming.bars import bar_stream, late_rows, store_bars
 from updraft.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +63,18 @@ THEME_NOW = dt.datetime(2024, 2, 1, 20, 0)
 # From this day on the first load of a corrected price history is wrong.
 CORRECTED = dt.date(1998, 1, 1)
 HOLIDAYS = ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-08")
+BAR_HOLIDAYS = ("1996-01-01", "1997-01-01", "1998-01-01", "1998-05-04", "1998-05-05", "2001-01-01")
+# Loads of bars as (id, from, before), each on its own basis: the prices of every so many codes fall to a part.
+LOADS = (
+    ("first", "1990-01-01", "1999-01-01"), ("second", "1998-01-01", "2000-06-01"),
+    ("third", "1997-06-01", "2001-01-01"), ("fourth", "2000-09-01", "2100-01-01"),
+)
+SPLITS = {"second": (3, 0.5), "third": (4, 0.25), "fourth": (5, 0.5)}
+# Bars that a first load of the delta query has wrong, and the dates at which it goes on.
+WRONG_CODES, WRONG_FROM = 7, dt.date(1999, 6, 1)
+DELTAS = (dt.date(2000, 1, 1), dt.date(2001, 1, 1))
+# A stream of events in parts of so many days, with trades that come a part too late.
+PART_DAYS, PARTS, LATE_EVERY, AGAIN_EVERY, NEXT_EVERY = 8, 4, 50, 20, 7
 
 
 def _bars(query: Callable[[DataFrame], DataFrame]) -> Query:
@@ -280,15 +297,98 @@ def _notify_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.pending(candidates, sent)
 
 
-def _holidays(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in HOLIDAYS], "day string")
+def _holidays(spark: SparkSession, days: tuple[str, ...] = HOLIDAYS) -> DataFrame:
+    return spark.createDataFrame([(d,) for d in days], "day string")
+
+
+def _adjusted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four loads, each on the basis of its day, through the store and the load log."""
+    bars, folder = inputs.supplier_week_bars(spark, sf_dir), scratch_dir(spark, "loads")
+    store, log = PriceStore(spark, f"{folder}/store"), LoadLog(spark, f"{folder}/loads")
+    number, basis = F.col("code").cast("long"), F.lit(1.0)
+    for name, first, before in LOADS:
+        if name in SPLITS:
+            every, part = SPLITS[name]
+            basis = basis * F.when(number % every == 0, part).otherwise(1.0)
+        load = bars.where((F.col("date") >= first) & (F.col("date") < before))
+        # In the last load some single bars are corrected as well, which is no change of basis.
+        corrected = F.when((number % 10 == 7) & (F.col("volume") % 2 == 0), 1.25 if name == LOADS[-1][0] else 1.0).otherwise(1.0)
+        batch = load.select(
+            "code", "date", (F.col("open") * basis).alias("open"), (F.col("close") * basis * corrected).alias("close"),
+            (F.col("volume") / basis).cast("bigint").alias("volume"), F.lit(1).alias("seq"),
+        )
+        upsert_rebased(store, log, batch, name, "seq")
+    return read_adjusted(store, log)
+
+
+def _screen_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The screen of a state that was built once and refreshed by a correction and two loads."""
+    bars = inputs.part_month_bars(spark, sf_dir).withColumn("seq", F.lit(1))
+    state = StreakState(spark, scratch_dir(spark, "state"), LOOSE.base_window)
+    date, first, second = F.col("date"), *DELTAS
+    wrong = (F.col("code").cast("long") % WRONG_CODES == 0) & (date >= F.lit(WRONG_FROM))
+    loaded = bars.where(date < F.lit(first))
+    state.rebuild(loaded.withColumn("close", F.when(wrong, F.col("close") / 2).otherwise(F.col("close"))))
+    for batch, known in (
+        (loaded.where(wrong), loaded),
+        (bars.where((date >= F.lit(first)) & (date < F.lit(second))), bars.where(date < F.lit(second))),
+        (bars.where(date >= F.lit(second)), bars),
+    ):
+        state.refresh(batch, "seq", lambda known=known: known.drop("seq"))
+    return screen(state.read(), LOOSE)
+
+
+def _day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = inputs.table(spark, sf_dir, "lineitem")
+    return inputs.line_bars(lines, F.col("l_suppkey"), F.to_date("l_shipdate"))
+
+
+def _on_calendar(query: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """A query over the suppliers' daily bars and the calendar of their dates."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = inputs.table(spark, sf_dir, "lineitem")
+        calendar = freshness.calendar_of(lines, F.col("l_shipdate"), _holidays(spark, BAR_HOLIDAYS), lead_days=0)
+        return query(_day_bars(spark, sf_dir), calendar)
+
+    return run
+
+
+def _asof_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line with the last bar of its supplier whose volume is a multiple of three."""
+    lines = inputs.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("code"), F.to_date("l_shipdate").alias("shipped")
+    )
+    bars = inputs.supplier_week_bars(spark, sf_dir).where("volume % 3 = 0").select("code", "date", "close", "volume")
+    return asof_lookup(lines, bars, "code", "shipped", "date", ["close", "volume"])
+
+
+def _stream_late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as trades in four files: some come twice, some a file later, some too late to count."""
+    folder = scratch_dir(spark, "trades")
+    events = inputs.table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    day = F.datediff(F.to_date("ts"), F.lit(events.agg(F.to_date(F.min("ts")).alias("d")).first()["d"]))
+    part = F.least(F.floor(day / PART_DAYS), F.lit(PARTS - 1)).cast("int")
+    evening = (day % PART_DAYS == PART_DAYS - 1) & (F.hour("ts") >= 18) & (part < PARTS - 1)
+    late = (F.col("event_id") % LATE_EVERY == 0) & (part == 0)
+    given = F.when(late, PARTS - 1).when((F.col("event_id") % NEXT_EVERY == 0) & evening, part + 1).otherwise(part)
+    copies = F.when(F.col("event_id") % AGAIN_EVERY == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    trades = events.withColumn("part", given).withColumn("copy", F.explode(copies))
+    for number in range(PARTS):
+        trades.where(F.col("part") == number).drop("part", "copy").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    bars = bar_stream(
+        arriving, code=F.col("event_type"), ts=F.col("ts"), key=F.col("event_id"), price=F.col("value"), quantity=F.lit(1), delay="1 day"
+    )
+    store = PriceStore(spark, f"{folder}/store")
+    query = store_bars(bars, store, f"{folder}/checkpoint")
+    query.awaitTermination()
+    return store.read().withColumn("late_rows", F.lit(late_rows(query)).cast("bigint"))
 
 
 def _latest_trading_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = inputs.table(spark, sf_dir, "events").select("event_id", "ts")
-    calendar = freshness.trading_calendar(
-        spark, dt.date(2023, 12, 1), dt.date(2024, 12, 31), _holidays(spark)
-    )
+    calendar = freshness.calendar_of(events, F.col("ts"), _holidays(spark))
     weekdays = freshness.with_latest_trading_day(events, F.col("ts"), out="weekday_target")
     both = freshness.with_latest_trading_day(weekdays, F.col("ts"), calendar)
     return both.select("event_id", "weekday_target", "target_day")
@@ -296,10 +396,9 @@ def _latest_trading_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per day of the calendar and the open day that reports them."""
-    calendar = freshness.trading_calendar(
-        spark, dt.date(2023, 12, 25), dt.date(2024, 2, 10), _holidays(spark)
-    )
-    daily = inputs.table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(
+    events = inputs.table(spark, sf_dir, "events")
+    calendar = freshness.calendar_of(events, F.col("ts"), _holidays(spark), lead_days=7)
+    daily = events.groupBy(F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("events")
     )
     return calendar.join(daily, "day", "left").withColumn("events", F.coalesce("events", F.lit(0)))
@@ -371,6 +470,12 @@ QUERIES: dict[str, Query] = {
     "upsert_latest": _upsert,
     "upsert_touched": _touched,
     "stream_upsert": _stream_upsert,
+    "adjusted_bars": _adjusted_bars,
+    "screen_delta": _screen_delta,
+    "stream_late_bars": _stream_late_bars,
+    "bar_gaps": _on_calendar(bar_gaps),
+    "bar_runs": _on_calendar(bar_runs),
+    "asof_bars": _asof_bars,
     "notify_ledger": _notify_ledger,
     "fetch_plan": _weekly(lambda p: freshness.fetch_plan(p, TODAY)),
     "fetch_plan_by_code": _bars(lambda p: freshness.fetch_plan(p, TODAY, by_code=True)),
