@@ -33,10 +33,14 @@ def of_longs(rows: DataFrame, column: str) -> np.ndarray:
     return built(rows, F.col(column).bitwiseAND(F.lit(BITS - 1).cast("long")))
 
 
+def at_places(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each of the bits ``at`` is set."""
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def holds(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether the bit of each long is set."""
-    at = values & np.int64(BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return at_places(bits, values & np.int64(BITS - 1))
 
 
 def filtered(bits: np.ndarray, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -11,8 +11,8 @@ or above the floor the language is settled, ties included: whatever was not expa
 the rank is doubled and more is expanded, until nothing is left to expand.
 
 Which occurrences lie below the frontier is told by bitmaps of a fixed size, whatever the number of
-prefixes: a wrong bit makes a phrase counted in vain, and none is missed. All counts
-and joins after that are on the phrases themselves. Scores are integers from exact decimals.
+prefixes: a wrong bit makes a phrase counted in vain, and none is missed. A task adds up what it
+holds at a time by hashes of 64 bits; all counts and joins after that are on the phrases themselves. Scores are integers from exact decimals.
 
 A-Z is lower-cased; pieces end at ``.,;:!?`` and 0x0A-0x0D, words at spaces and tabs, and nothing
 else. NULL and empty texts have no words. A NULL language is ``und`` and one with rows of that name. Repeated rows count each
@@ -22,11 +22,8 @@ phrases, gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-import operator
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,92 +32,164 @@ from pyspark.sql import functions as F
 
 from updraft.llm import bitmaps
 from updraft.llm.tables import stored
+from updraft.llm.words import GROUP_BYTES, STEP, buffer_hashes, cuts, mix
 
 TOP = 2000
 LEAST = 10
 # A candidate falls to a longer one with this share of its count, in hundredths.
 SHARE = 50
 SCALE = 1_000_000
-HELD = 300_000
-KNOWN = 400_000
+# Occurrences and bytes that a task holds before it counts and hands on; rows it hands on at once.
+HELD = 1_000_000
+HELD_BYTES = 12 << 20
+YIELDED = 200_000
 MERGED = 200_000
-FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
+FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
+U64 = np.uint64
 COUNTS = "lang string, phrase string, c long"
 
 
-class Members(dict):
-    """Whether a phrase, given as bytes or as a tuple of words, has its bit set; remembers up to KNOWN answers."""
+def bits_at(hashes: np.ndarray, lang: np.ndarray | np.uint64) -> np.ndarray:
+    """Places of phrases in a bitmap, by their hashes and those of their languages."""
+    return (mix(hashes + lang) & U64(bitmaps.BITS - 1)).astype(np.int64)
 
-    def __init__(self, bits: np.ndarray, lang: str):
-        super().__init__()
-        self.bits, self.lead = bits, zlib.crc32(lang.encode() + b"\n")
 
-    def __missing__(self, phrase: bytes | tuple[bytes, ...]) -> bool:
-        if len(self) >= KNOWN:
-            self.clear()
-        at = zlib.crc32(phrase if isinstance(phrase, bytes) else b" ".join(phrase), self.lead) % bitmaps.BITS
-        self[phrase] = found = bool(self.bits[at >> 3] >> (at & 7) & 1)
-        return found
+def lang_hash(lang: str) -> np.uint64:
+    return mix(np.array([zlib.crc32(lang.encode())], U64) + U64(1))[0]
 
 
-def bit_of(lang: Column, phrase: Column) -> Column:
-    return F.crc32(F.concat(lang, F.lit("\n"), phrase).cast("binary")) % bitmaps.BITS
-
-
-def bitmap(phrases: DataFrame) -> np.ndarray:
-    return bitmaps.built(phrases, bit_of(F.col("lang"), F.col("phrase")))
-
+def place_task(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            own = np.array([lang_hash(x) for x in langs.dictionary.to_pylist()], U64)[langs.indices.to_numpy()]
+            words = buffer_hashes(b"\n".join(batch.column(1).cast(pa.binary()).to_pylist()))[1].reshape(-1, order)
+            yield pa.RecordBatch.from_arrays([pa.array(bits_at(together([words[:, k] for k in range(order)]), own))], names=["at"])
 
-def pieces(text: str) -> Iterator[list[bytes]]:
-    """The words of each piece. Of white space only spaces and tabs are left when they are split."""
-    for piece in text.encode().translate(FOLD).split(b"\n"):
-        words = piece.split()
-        if words:
-            yield words
+    return run
 
 
-def occurrences(words: list[bytes], order: int, heads: Members | None, tails: Members | None) -> Iterator:
-    """The phrases of ``order`` words whose first words are in ``heads`` and whose last ones in ``tails``."""
-    phrases = zip(*(islice(words, k, None) for k in range(order)))
-    if order == 1:
-        return iter(words)
-    parts = words if order == 2 else list(zip(*(islice(words, k, None) for k in range(order - 1))))
-    return compress(phrases, map(operator.and_, map(heads.__getitem__, parts), map(tails.__getitem__, islice(parts, 1, None))))
+def bitmap(phrases: DataFrame, order: int) -> np.ndarray:
+    """The bits of ``phrases`` (lang, phrase), all of ``order`` words."""
+    return bitmaps.built(phrases.select("lang", "phrase").mapInArrow(place_task(order), "at long"), F.col("at"))
+
+
+def together(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of the phrases whose first, second, ... words have these hashes."""
+    out = words[0]
+    for word in words[1:]:
+        out = out * STEP + word
+    return mix(out + U64(len(words)))
+
+
+class Located:
+    """The words of a lower-case buffer, whose gaps are spaces and, between pieces, line feeds."""
+
+    def __init__(self, data: bytes):
+        starts, hashes, offset = [], [], 0
+        for part in cuts(data, GROUP_BYTES) if len(data) > 2 * GROUP_BYTES else [data]:
+            start, found = buffer_hashes(part)
+            starts.append(start + offset)
+            hashes.append(found)
+            offset += len(part)
+        raw = np.frombuffer(data, np.uint8)
+        gaps = np.append(np.flatnonzero((raw == 0x20) | (raw == 0x0A)), len(raw))
+        self.start, self.hashes = np.concatenate(starts), np.concatenate(hashes)
+        self.end = gaps[np.searchsorted(gaps, self.start)]
+        self.piece = np.searchsorted(np.flatnonzero(raw == 0x0A), self.start)
+
+    def phrases(self, order: int, heads: np.ndarray | None, tails: np.ndarray | None, lang: np.uint64) -> tuple[np.ndarray, ...]:
+        """Hash, start, end and whether single spaces part it, of each phrase whose first words are in ``heads`` and last ones in ``tails``."""
+        n = max(0, len(self.start) - order + 1)
+        first, last = np.arange(n), np.arange(order - 1, order - 1 + n)
+        keep = self.piece[first] == self.piece[last]
+        of = lambda size: together([self.hashes[k : len(self.hashes) - size + 1 + k] for k in range(size)])
+        if order > 1 and n:
+            at = bits_at(of(order - 1), lang)
+            keep &= bitmaps.at_places(heads, at[:-1])
+            keep[keep] = bitmaps.at_places(tails, at[1:][keep])
+        first, last = first[keep], last[keep]
+        plain = np.ones(len(first), dtype=bool)
+        for k in range(order - 1):
+            plain &= self.start[first + k + 1] - self.end[first + k] == 1
+        return (of(order)[keep] if n else np.empty(0, U64)), self.start[first], self.end[last], plain
+
+
+class Held:
+    """Occurrences of one language that wait to be counted, with the buffers that hold them."""
+
+    def __init__(self) -> None:
+        self.buffers: list[bytes] = []
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.bytes = self.rows = 0
+
+    def add(self, data: bytes, found: tuple[np.ndarray, ...]) -> None:
+        hashes, start, end, plain = found
+        if len(hashes):
+            self.found.append((hashes, start + self.bytes, end + self.bytes, plain))
+            self.buffers.append(data)
+            self.bytes += len(data)
+            self.rows += len(hashes)
+
+    def counted(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """The distinct phrases with their counts. Within what is held, phrases are told apart by their hashes of 64 bits."""
+        if not self.rows:
+            return
+        raw = np.frombuffer(b"".join(self.buffers), np.uint8)
+        hashes, start, end, plain = (np.concatenate(x) for x in zip(*self.found))
+        self.buffers, self.found = [], []
+        _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+        del hashes
+        for begin in range(0, len(first), YIELDED):
+            own, often = first[begin : begin + YIELDED], counts[begin : begin + YIELDED]
+            for rows, number in ((own[plain[own]], often[plain[own]]), (own[~plain[own]], often[~plain[own]])):
+                if not len(rows):
+                    continue
+                if plain[rows[0]]:
+                    size = end[rows] - start[rows]
+                    offsets = np.append(0, np.cumsum(size))
+                    letters = raw[np.repeat(start[rows] - offsets[:-1], size) + np.arange(offsets[-1])]
+                    phrases = pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters)])
+                else:
+                    phrases = pa.array([b" ".join(raw[start[i] : end[i]].tobytes().split()) for i in rows], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), phrases, pa.array(number, pa.int64())], names=["lang", "phrase", "c"])
 
 
 def count_task(order: int, heads: np.ndarray | None, tails: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def flushed(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, own in counts.items():
-            if own:
-                phrases = list(own) if order == 1 else [b" ".join(p) for p in own]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(own), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())],
-                    names=["lang", "phrase", "c"],
-                )
-        counts.clear()
+    """Texts are joined to buffers of about GROUP_BYTES for each language; a longer text is a buffer of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-        members: dict[str, tuple[Members | None, Members | None]] = {}
-        held = 0
+        waiting: dict[str, list[bytes]] = {}
+        lengths: dict[str, int] = {}
+        held: dict[str, Held] = {}
+        size = 0
+
+        def locate(lang: str) -> None:
+            data = b"\n".join(waiting.pop(lang))
+            lengths.pop(lang)
+            if data:
+                held.setdefault(lang, Held()).add(data, Located(data).phrases(order, heads, tails, lang_hash(lang)))
+
         for batch in batches:
             for at in range(batch.num_rows):
-                lang, text = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                if lang not in members:
-                    # Many languages in one task share the memory for remembered answers by forgetting.
-                    if len(members) >= 4:
-                        members.clear()
-                    first = Members(heads, lang) if order > 1 else None
-                    members[lang] = first, first if tails is heads else Members(tails, lang)
-                own = counts.setdefault(lang, Counter())
-                before = len(own)
-                for words in pieces(text):
-                    own.update(occurrences(words, order, *members[lang]))
-                held += len(own) - before
-                if held > HELD:
-                    yield from flushed(counts)
-                    held = 0
-        yield from flushed(counts)
+                lang, text = batch.column(0)[at].as_py(), batch.column(1)[at].as_py().encode().translate(FOLD)
+                own = waiting.setdefault(lang, [])
+                own.append(text)
+                size += len(text) + 1
+                lengths[lang] = lengths.get(lang, 0) + len(text)
+                if lengths[lang] >= GROUP_BYTES:
+                    locate(lang)
+                if size >= HELD_BYTES or sum(h.rows for h in held.values()) >= HELD:
+                    for name in list(waiting):
+                        locate(name)
+                    for name, full in held.items():
+                        yield from full.counted(name)
+                    held.clear()
+                    size = 0
+        for name in list(waiting):
+            locate(name)
+        for name, full in held.items():
+            yield from full.counted(name)
 
     return run
 
@@ -218,10 +287,10 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", top: int = TOP
     texts = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     all_words = stored(counted(texts, 1), "words")
     words = all_words.where(F.col("c") >= least)
-    frequent = bitmap(words)
+    frequent = bitmap(words, 1)
     counts = stored(counted(texts, 2, frequent, frequent).where(F.col("c") >= least), "pairs")
     pairs = stored(scored_pairs(words, counts), "scored")
-    tails = bitmap(pairs)
+    tails = bitmap(pairs, 2)
 
     ranks = stored(pairs.groupBy("lang").agg(F.lit(2 * top).cast("long").alias("rank")), "ranks")
     expanded = triples = None
@@ -229,7 +298,7 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", top: int = TOP
         floor = stored(floors(pairs, ranks), "floors")
         fresh = frontier(pairs, floor)
         fresh = stored(fresh if expanded is None else fresh.join(expanded, ["lang", "phrase"], "left_anti"), "frontier")
-        found = counted(texts, 3, bitmap(fresh), tails).where(F.col("c") >= least).withColumn("_head", before_last("phrase"))
+        found = counted(texts, 3, bitmap(fresh, 2), tails).where(F.col("c") >= least).withColumn("_head", before_last("phrase"))
         # Bits of the frontier that other prefixes share are not part of it.
         found = found.join(fresh.select("lang", F.col("phrase").alias("_head")), ["lang", "_head"], "left_semi").drop("_head")
         found = stored(scored_triples(words, counts, found), "triples")
