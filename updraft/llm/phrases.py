@@ -40,9 +40,9 @@ LEAST = 10
 SHARE = 50
 SCALE = 1_000_000
 # Occurrences and bytes that a task holds before it counts and hands on; rows it hands on at once.
-HELD = 1_000_000
-HELD_BYTES = 12 << 20
-YIELDED = 200_000
+HELD = 500_000
+HELD_BYTES = 8 << 20
+YIELDED = 100_000
 MERGED = 200_000
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 U64 = np.uint64
