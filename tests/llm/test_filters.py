@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -40,6 +41,34 @@ def test_secret_spans_and_owners(spark):
     assert secrets.scan(docs.limit(0), F.col("source"), F.col("repo")).count() == 0
 
 
+def test_secrets_of_a_text_full_of_them(spark):
+    parts = [("token=abc123", "x=1", "AKIA" + "Z" * 16, "0f" * 12, "Ab3dEf6hIj9kLm2nOp5qRs8t", "secret: k9k9k9k9k9k9k9k9k9k9k9k9k9")[i % 6] + f" {i} " for i in range(160_000)]
+    docs = spark.createDataFrame([(1, "".join(parts), "a"), (2, None, "a"), (3, "password=zzzzzzz", "b")], "doc_id long, text string, source string")
+    begun = time.monotonic()
+    row = secrets.digest(secrets.scan(docs, F.col("source"), F.col("source"))).where("doc_id = 1").first()
+    assert time.monotonic() - begun < 60
+    base = spans("".join(parts))
+    assert (row["n_assign"], row["n_access"], row["n_hex"]) == tuple(sum(s[2] == k for s in base) for k in ("assign", "access", "hex"))
+    text = ",".join(f"{kind}:{b}:{e}" for b, _, kind, e in base)
+    assert row["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    # One unlabelled run in six parts, none of those that a base span covers.
+    assert row["n_owned"] == len([i for i in range(160_000) if i % 6 == 4])
+
+
+def test_hot_secret_hashes_are_broadcast_and_counted(spark, monkeypatch):
+    rows = [(i, "api_key=copied-everywhere" if i % 3 else f"api_key=single-{i:04d}", f"o{i % 5}", f"o{i % 5}/r{i % 7}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    found = {}
+    for share in (10, 1_000_000, 1):
+        monkeypatch.setattr(secrets, "HEAVY_SHARE", share)
+        out = secrets.scan(docs, F.col("source"), F.col("repo")).collect()
+        found[share] = sorted((r["doc_id"], *r["findings"][0]) for r in out)
+        assert len(out) == len(rows) and all(len(r["findings"]) == 1 for r in out)
+    assert found[10] == found[1_000_000] == found[1]
+    assert {(r[6], r[7], r[8]) for r in found[10] if r[0] % 3} == {(5, len({(i % 5, i % 7) for i in range(600) if i % 3}), "example")}
+    assert {(r[6], r[7], r[8]) for r in found[10] if r[0] % 3 == 0} == {(1, 1, "live")}
+
+
 def test_url_rules_and_terms(spark):
     rows = [
         ("http://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),

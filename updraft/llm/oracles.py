@@ -39,9 +39,12 @@ def secret_sql() -> str:
           AND len(list_distinct(string_split(s.v, ''))) >= 12
           AND NOT EXISTS (SELECT 1 FROM base t WHERE t.doc_id = s.doc_id AND t.b < s.e AND s.b < t.e)
     ),
-    owners AS (SELECT hash, count(DISTINCT source) AS n FROM kept GROUP BY hash),
+    owners AS (
+        SELECT hash, count(DISTINCT source) AS n, count(DISTINCT (coalesce(source, ''), concat_ws('/', source, lang))) AS r
+        FROM kept GROUP BY hash
+    ),
     final AS (
-        SELECT k.*, o.n, concat_ws(':', kind, b, e) AS span FROM kept k JOIN owners o USING (hash)
+        SELECT k.*, o.n, o.r, concat_ws(':', kind, b, e) AS span FROM kept k JOIN owners o USING (hash)
         WHERE kind <> 'owned' OR n <= {secrets.LIVE_OWNERS}
     ),
     per AS (
@@ -49,13 +52,15 @@ def secret_sql() -> str:
                count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
                count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'owned') AS n_owned,
                count(*) FILTER (n >= {secrets.EXAMPLE_OWNERS}) AS n_example, count(*) FILTER (n <= {secrets.LIVE_OWNERS}) AS n_live,
+               max(r) AS most_repositories,
                string_agg(span, ',' ORDER BY b, rank) FILTER (kind <> 'owned') AS base,
                string_agg(span, ',' ORDER BY b, rank) AS spans
         FROM final GROUP BY doc_id
     )
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-           coalesce(n_owned, 0) AS n_owned, coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live
+           coalesce(n_owned, 0) AS n_owned, coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live,
+           coalesce(most_repositories, 0) AS most_repositories
     FROM documents d LEFT JOIN per USING (doc_id)"""
 
 

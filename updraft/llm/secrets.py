@@ -9,13 +9,13 @@ method adds spans and never removes a base one.
 
 One row comes out for each row in, repeated ids included. NULL texts count as empty
 and give no spans. NULL owners or repositories count as one unnamed owner or
-repository. Texts are searched whole; ties of two spans at one start follow the
+repository. Texts are searched whole, in time that grows with their matches; ties of two spans at one start follow the
 order of KINDS. Columns besides id, text, owner and repository are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from updraft.llm.tables import stored
@@ -31,13 +31,14 @@ OWNED = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = ("assign", "access", "hex", "owned")
 EXAMPLE_OWNERS = 3
 LIVE_OWNERS = 1
+HEAVY_SHARE = 1000
 
 
 def matches(text: Column, pattern: str, group: int) -> Column:
-    """Array of (begin, end, value) of all leftmost non-overlapping matches.
+    """Array of (gap, size, value) of all leftmost non-overlapping matches, in text order.
 
-    The texts between the matches give the places: each match begins where the
-    pieces and matches before it end.
+    ``gap`` is the length of the text between a match and the one before it; running sums
+    of gaps and sizes give the places.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -46,22 +47,19 @@ def matches(text: Column, pattern: str, group: int) -> Column:
         F.slice(gaps, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), values.alias("v")),
         lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["w"]).alias("size"), m["v"].alias("value")),
     )
-    empty = F.array().cast("array<struct<begin:int,end:int,value:string>>")
+    return F.when(text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<gap:int,size:int,value:string>>"))
 
-    def follow(done: Column, m: Column) -> Column:
-        begin = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + m["gap"]
-        return F.concat(done, F.array(F.struct(begin.alias("begin"), (begin + m["size"]).alias("end"), m["value"].alias("value"))))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, empty, follow)).otherwise(empty)
+def candidates(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Array of (rank, gap, size, hash) in text order; ``hash`` is NULL where the value is no candidate."""
 
+    def candidate(m: Column) -> Column:
+        counts = F.length(m["value"]) >= least
+        if kind == "owned":
+            counts = counts & high_entropy(m["value"])
+        return F.struct(F.lit(KINDS.index(kind)).alias("rank"), m["gap"].alias("gap"), m["size"].alias("size"), F.when(counts, F.sha2(m["value"], 256)).alias("hash"))
 
-def candidates(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of (begin, rank, kind, end, value) in text order."""
-    kept = F.filter(matches(text, pattern, group), lambda m: F.length(m["value"]) >= least)
-    return F.transform(kept, lambda m: F.struct(
-        m["begin"].alias("begin"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"),
-        m["end"].alias("end"), m["value"].alias("value"),
-    ))
+    return F.transform(matches(text, pattern, group), candidate)
 
 
 def high_entropy(value: Column) -> Column:
@@ -70,32 +68,63 @@ def high_entropy(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (distinct >= 12)
 
 
-def find_candidates(docs: DataFrame, text: str) -> DataFrame:
-    """Adds ``_base`` and ``_loose``, the candidates of the base kinds and the unlabelled ones."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast("array<struct<begin:int,rank:int,kind:string,end:int,value:string>>")
-    assign, access, hexes = (candidates(body, *kind) for kind in BASE_KINDS)
-    found = F.concat(
-        assign,
-        F.when(body.contains("AKIA"), access).otherwise(none),
-        # Runs of 23 and less never count, and dropping them moves no other run.
-        F.when(body.rlike("[0-9a-f]{24}"), candidates(body, "hex", "[0-9a-f]{24,}", 0, 24)).otherwise(none),
-    )
-    loose = F.filter(candidates(body, "owned", OWNED, 0, 24), lambda m: high_entropy(m["value"]))
-    out = docs.withColumns({"_base": F.array_sort(found), "_loose": F.when(body.rlike(OWNED), loose).otherwise(none)})
-    apart = F.filter("_loose", lambda m: ~F.exists("_base", lambda b: (b["begin"] < m["end"]) & (m["begin"] < b["end"])))
-    return out.withColumn("_loose", apart)
+def found_in(text: Column) -> Column:
+    """The matches of all kinds in a text, each kind in text order."""
+    body = F.coalesce(text, F.lit(""))
+    none = F.array().cast("array<struct<rank:int,gap:int,size:int,hash:string>>")
+    assign, access, _ = (candidates(body, *kind) for kind in BASE_KINDS)
+    # Runs of 23 and less never count, and dropping them moves no other run.
+    hexes = candidates(body, "hex", "[0-9a-f]{24,}", 0, 24)
+    loose = candidates(body, "owned", OWNED, 0, 24)
+    return F.concat(
+        assign, F.when(body.contains("AKIA"), access).otherwise(none),
+        F.when(body.rlike("[0-9a-f]{24}"), hexes).otherwise(none), F.when(body.rlike(OWNED), loose).otherwise(none),
+    )
+
+
+def located(each: DataFrame) -> DataFrame:
+    """One row for each candidate of ``each`` (row, owner, repository, found), with begin and end.
+
+    Unlabelled candidates that overlap a base one are left out. Places and overlaps are
+    running sums, maxima and minima over the matches of a row, so a text full of matches
+    costs no more for each of them; one shuffle by row serves all three windows.
+    """
+    hits = each.select("row", "owner", "repository", F.posexplode("found").alias("nth", "m")).select("row", "owner", "repository", "nth", "m.*")
+    so_far = Window.partitionBy("row", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = hits.repartition("row").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int"))
+    placed = placed.where("hash IS NOT NULL").withColumn("begin", F.col("end") - F.col("size"))
+    base = F.col("rank") != KINDS.index("owned")
+    before = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("row").orderBy("begin"))
+    after = F.min(F.when(base, F.col("begin"))).over(Window.partitionBy("row").orderBy(F.col("begin").desc()))
+    apart = placed.withColumns({"_before": before, "_after": after})
+    overlaps = F.coalesce(F.col("_before") > F.col("begin"), F.lit(False)) | F.coalesce(F.col("_after") < F.col("end"), F.lit(False))
+    return apart.where(base | ~overlaps).select("row", "owner", "repository", "rank", "begin", "end", "hash")
 
 
 def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
-    """Distinct owners and repositories of each candidate hash.
+    """Distinct owners and repositories of each candidate hash, and its occurrences.
 
     Occurrences collapse to (hash, owner, repository) on the map side before they
     are shuffled, so a value copied into a third of all rows stays small.
     """
-    pairs = found.select("hash", F.coalesce(F.col(owner), F.lit("")).alias("o"), F.coalesce(F.col(repository), F.lit("")).alias("r")).distinct()
-    owners = pairs.groupBy("hash", "o").agg(F.count(F.lit(1)).alias("n"))
-    return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+    pairs = found.groupBy("hash", F.coalesce(F.col(owner), F.lit("")).alias("o"), F.coalesce(F.col(repository), F.lit("")).alias("r")).agg(F.count(F.lit(1)).alias("times"))
+    owners = pairs.groupBy("hash", "o").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
+    return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"), F.sum("times").alias("times"))
+
+
+def with_ownership(flat: DataFrame) -> DataFrame:
+    """``flat`` with owners and repositories of each hash.
+
+    A hash that holds more than one in HEAVY_SHARE of all occurrences would be one task of
+    the join. There are fewer than HEAVY_SHARE such hashes whatever the input, so these
+    are broadcast, and their occurrences stay where they are.
+    """
+    counts = stored(ownership(flat, "owner", "repository"), "secret-owners")
+    total = counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    heavy = F.col("times") * HEAVY_SHARE > total
+    hot = F.broadcast(counts.where(heavy).drop("times"))
+    cold = flat.join(hot.select("hash"), "hash", "left_anti").join(counts.where(~heavy).drop("times"), "hash")
+    return flat.join(hot, "hash").unionByName(cold)
 
 
 def scan(
@@ -107,18 +136,13 @@ def scan(
     ``verdict`` is ``example`` from ``example_owners`` owners on, ``live`` up to
     ``live_owners``, else ``shared``.
     """
-    base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
-    hashed = lambda c: F.transform(c, lambda m: F.struct(m["begin"], m["rank"], m["kind"], m["end"], F.sha2(m["value"], 256).alias("hash")))
-    each = stored(
-        find_candidates(base, "text")
-        .select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", hashed(F.concat("_base", "_loose")).alias("found")),
-        "secrets",
-    )
-    flat = each.where(F.size("found") > 0).select("row", "id", "owner", "repository", F.explode("found").alias("m")).select("row", "id", "owner", "repository", "m.*")
-    counted = flat.join(ownership(flat, "owner", "repository"), "hash")
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
+    each = stored(texts.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", found_in(F.col("text")).alias("found")), "secrets")
+    counted = with_ownership(stored(located(each), "secret-hits"))
     verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("owners") <= live_owners, "live").otherwise("shared")
-    kept = counted.where((F.col("kind") != "owned") | (F.col("owners") <= live_owners))
-    finding = F.struct("begin", "rank", "kind", "end", "hash", "owners", "repositories", verdict.alias("verdict"))
+    kept = counted.where((F.col("rank") != KINDS.index("owned")) | (F.col("owners") <= live_owners))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1).alias("kind")
+    finding = F.struct("begin", "rank", kind, "end", "hash", "owners", "repositories", verdict.alias("verdict"))
     grouped = kept.groupBy("row").agg(F.array_sort(F.collect_list(finding)).alias("findings"))
     empty = F.array().cast(grouped.schema["findings"].dataType)
     return each.select("row", "id").join(grouped, "row", "left").select(F.col("id").alias(id), F.coalesce("findings", empty).alias("findings"))
@@ -137,4 +161,5 @@ def digest(scanned: DataFrame, id: str = "doc_id") -> DataFrame:
         id, of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
         F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"),
         of("owned").alias("n_owned"), judged("example").alias("n_example"), judged("live").alias("n_live"),
+        F.coalesce(F.array_max(F.transform("findings", lambda m: m["repositories"])), F.lit(0).cast("long")).alias("most_repositories"),
     )
