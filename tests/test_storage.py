@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from updraft import ScreenConfig, published_screen, screen
 from updraft.operators.ingest import drop_incomplete
 from updraft.operators.universe import PUBLISHED_COLUMNS
-from updraft.sinks import ledger, results
+from updraft.sinks import ledger, price_store, results
 from updraft.sinks.price_store import PriceStore
 from updraft.sources.prices import PRICE_COLUMNS, read_prices, save_bucketed
 from updraft.sources.universe import read_universe
@@ -116,6 +116,28 @@ def test_stream_of_quotes_ends_in_the_store(spark, tmp_path):
     assert len(names) == 2 and not any(n.startswith("None") for n in names)
 
 
+def test_log_is_compacted_to_the_last_state_of_each_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(price_store, "LOG_FILES", 4)
+    store = PriceStore(spark, str(tmp_path / "a b"))
+    batches = [spark.createDataFrame([bar("A", "2026-02-02", n)], BATCH) for n in range(5)]
+    for n in range(3):
+        store.upsert(batches[n], n, "seq")
+        assert len(list((tmp_path / "a b" / "log").glob("*.parquet"))) <= 4
+    assert store.version() == 3
+    # a compaction that dies before the old files go changes nothing
+    with monkeypatch.context() as m:
+        m.setattr(PriceStore, "_delete", lambda self, files: (_ for _ in ()).throw(OSError()))
+        with pytest.raises(OSError):
+            store.upsert(batches[3], 3, "seq")
+    assert store.version() == 4 and content(store) == [("A", "2026-02-02", 3)]
+    assert all(store.upsert(batches[n], n, "seq") == [] for n in range(4))
+    store.upsert(batches[4], 4, "seq")
+    assert len(list((tmp_path / "a b" / "log").glob("*.parquet"))) == 1
+    assert store.version() == 5 and content(store) == [("A", "2026-02-02", 4)]
+    rows = sorted(map(tuple, spark.read.parquet(store.log_path).collect()))
+    assert rows == [(str(n), "applied") for n in range(5)]
+
+
 def test_csv_results(spark, prices, tmp_path):
     names = spark.createDataFrame([("AAAA", "Alpha", "プライム")], "code string, name string, market string")
     published = published_screen(prices(series("AAAA", [20_000] * 15, RISE)), names)

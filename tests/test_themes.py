@@ -1,11 +1,14 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from updraft.operators import themes
 from updraft.sinks.theme_reports import write_theme_reports
-from updraft.sources.theme_reports import read_theme_report, read_theme_reports, theme_report_dates
+from updraft.sources.theme_reports import malformed_cells, read_theme_report, read_theme_reports, theme_report_dates
+from updraft.streaming import reports as reports_stream
+from updraft.streaming.reports import read_stored_reports
 
 HEADER = (
     "rank,theme,status,ignition,stage,confidence,participants,eligible_members,"
@@ -76,6 +79,34 @@ def test_reports_are_written_as_dated_files(spark, folder, tmp_path):
     assert back == {(r["report_date"], r["rank"]): r for r in reports.collect() if (r["report_date"], r["rank"]) != ("2026-06-24", 2)}
 
 
+def test_malformed_cells_are_counted(spark, tmp_path):
+    header = "rank,theme,confidence,participants,floor_pass\n"
+    (tmp_path / "daily_report_2026-06-24.csv").write_text(header + "1,a,0.5,x7,True\nfirst,b,,3.0,maybe\n2,c,high,x3,False\n")
+    (tmp_path / "daily_report_2026-06-25.csv").write_text("rank,theme\n1,a\n")
+    (tmp_path / "daily_report_2026-06-26.csv").write_text("theme\na\n")
+    found = sorted(map(tuple, malformed_cells(spark, str(tmp_path)).collect()))
+    day = "2026-06-24"
+    assert found == [(day, "confidence", 1, "high"), (day, "floor_pass", 1, "maybe"), (day, "participants", 2, "x3"), (day, "rank", 1, "first")]
+    assert malformed_cells(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stored_reports_open_new_files_only(spark, folder, tmp_path_factory, monkeypatch):
+    source, base, seen = tmp_path_factory.mktemp("arriving"), tmp_path_factory.mktemp("stored"), []
+    table, checkpoint = str(base / "table"), str(base / "checkpoint")
+    assert read_stored_reports(spark, table).count() == 0
+    read = reports_stream.read_listed
+    monkeypatch.setattr(reports_stream, "read_listed", lambda session, listing: (seen.append(sorted(r["path"][-14:-4] for r in listing.select("path").collect())), read(session, listing))[1])
+    names = sorted(p for p in Path(folder).glob("daily_report_*.csv"))
+    for name in names:
+        (source / name.name).write_bytes(name.read_bytes())
+        assert reports_stream.ingest_reports(spark, str(source), table, checkpoint).awaitTermination(120)
+    assert reports_stream.ingest_reports(spark, str(source), table, checkpoint).awaitTermination(120)
+    assert seen == [[n.name[-14:-4]] for n in names]
+    stored, all_read = read_stored_reports(spark, table), read_theme_reports(spark, str(folder))
+    assert stored.schema.names == all_read.schema.names
+    assert sorted(map(repr, stored.collect())) == sorted(map(repr, all_read.collect()))
+
+
 def test_reports_scale_by_themselves(spark, folder):
     rows = {(r["report_date"], r["theme"]): r["width"] for r in themes.theme_rows(read_theme_reports(spark, folder)).collect()}
     assert rows["2026-06-24", "AI"] == rows["2026-06-23", "AI"] == "100%" and rows["2026-06-24", "New"] == "0%"

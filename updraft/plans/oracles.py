@@ -277,6 +277,12 @@ _REPORTS = """
              max(CAST(round(value * 100) AS BIGINT)) AS top
       FROM events GROUP BY ALL))"""
 
+# Reports through files, where those of even days know no registrations.
+_FILED = f"""
+    SELECT * REPLACE (CASE WHEN CAST(substr(report_date, 10) AS INTEGER) % 2 = 1
+                           THEN registered_since END AS registered_since)
+    FROM ({_REPORTS})"""
+
 _LATEST_REPORT = (
     f"(SELECT * FROM ({_REPORTS}) QUALIFY report_date = max(report_date) OVER ())"
 )
@@ -437,6 +443,20 @@ ORACLES: dict[str, str] = {
     FROM lineitem l
     WHERE l_shipdate <> (SELECT max(l_shipdate) FROM lineitem s
       WHERE s.l_linestatus = 'F' AND s.l_returnflag = l.l_returnflag)""",
+    "notify_intents": """
+    WITH asked AS (SELECT DISTINCT l_returnflag AS metric, CAST(l_shipdate AS DATE) AS data_date FROM lineitem)
+    SELECT *, 'third' AS attempt FROM asked
+    WHERE metric <> 'N' AND (metric <> 'A' OR data_date <> (SELECT max(data_date) FROM asked WHERE metric = 'A'))
+    UNION ALL SELECT *, unnest(['doubted', 'fourth']) FROM asked WHERE metric = 'N'""",
+    "codes_by_range": f"""
+    WITH bars AS (SELECT DISTINCT l_partkey, CAST(l_shipdate AS DATE) AS date FROM lineitem),
+    ranges(since, before) AS (VALUES {", ".join(f"(DATE '{a}', DATE '{b}')" for a, b in w.RANGES)})
+    SELECT since, before, min(date) AS "from", max(date) AS "to", count(date) AS rows,
+           count(DISTINCT l_partkey) AS codes, true AS within_bound
+    FROM ranges LEFT JOIN bars ON date >= since AND date < before GROUP BY since, before""",
+    "sketched_ranks": f"""
+    SELECT code, date, volume, percent_rank() OVER (PARTITION BY date ORDER BY volume) AS volume_rank,
+           true AS within_bound FROM ({PART_MONTH})""",
     "fetch_plan": f"""
     SELECT latest, DATE '2001-11-12' - (latest - 5) >= 180 AS "full",
            CASE WHEN DATE '2001-11-12' - (latest - 5) < 180 THEN latest - 5 END AS "start",
@@ -539,11 +559,13 @@ ORACLES: dict[str, str] = {
            avg(confidence) FILTER (theme = 'view') AS view
     FROM ({_REPORTS}) GROUP BY report_date""",
     "theme_files_dates": "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS report_date FROM events",
-    "theme_files_report": f"""
-    SELECT * REPLACE (CASE WHEN CAST(substr(report_date, 10) AS INTEGER) % 2 = 1
-                           THEN registered_since END AS registered_since)
-    FROM ({_REPORTS})""",
+    "theme_files_report": _FILED,
+    "theme_files_stored": _FILED,
     "theme_files_history": f"SELECT report_date AS date, theme, confidence FROM ({_REPORTS})",
+    "theme_malformed": f"""
+    SELECT report_date, 'participants' AS "column", count(*) AS cells, min('about ' || eligible_members) AS example
+    FROM ({_REPORTS}) WHERE rank % 2 = 0 GROUP BY report_date
+    UNION ALL SELECT report_date, 'floor_pass', count(*), 'perhaps' FROM ({_REPORTS}) WHERE rank % 3 = 0 GROUP BY report_date""",
     "theme_stale": """
     SELECT strftime(max(ts), '%Y-%m-%d') AS newest, DATE '2024-01-31' AS target_day,
            strftime(max(ts), '%Y-%m-%d') < '2024-01-31' AS is_stale

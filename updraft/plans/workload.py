@@ -8,8 +8,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from updraft.config import ScreenConfig
@@ -18,6 +19,7 @@ from updraft.operators.asof import asof_lookup
 from updraft.operators.gaps import bar_gaps, bar_runs
 from updraft.operators.grid import config_grid
 from updraft.operators.screening import find_hits, rank_hits
+from updraft.operators.sketches import codes_error, rank_error, sketched_percent_ranks
 from updraft.operators.streaks import streak_lengths, streak_metrics
 from updraft.operators.sweep import sweep_metrics, sweep_screen
 from updraft.operators.universe import enrich, normalize_listing, normalize_universe
@@ -26,17 +28,19 @@ from updraft.plans import inputs
 from updraft.plans.nightly import run_nightly
 from updraft.plans.pages import screener_view
 from updraft.plans.screening import published_screen, screen, screen_recent_first
-from updraft.session import scratch_dir
+from updraft.session import materialize, scratch_dir
 from updraft.sinks import ledger
+from updraft.sinks.code_sketches import CodeSketches
 from updraft.sinks.load_log import LoadLog, read_adjusted, upsert_rebased
 from updraft.sinks.price_store import PriceStore
 from updraft.sinks.results import ResultStore, result_name, write_csv, write_parquet
 from updraft.sinks.streak_state import StreakState
 from updraft.sinks.theme_reports import write_theme_reports
-from updraft.sources.theme_reports import read_theme_reports, theme_report_dates
+from updraft.sources.theme_reports import malformed_cells, read_theme_reports, theme_report_dates
 from updraft.sources.universe import read_listing, read_universe
 from updraft.streaming.bars import bar_stream, late_rows, store_bars
 from updraft.streaming.ingest import ingest_stream
+from updraft.streaming.reports import ingest_reports, read_stored_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +77,9 @@ SPLITS = {"second": (3, 0.5), "third": (4, 0.25), "fourth": (5, 0.5)}
 # Bars that a first load of the delta query has wrong, and the dates at which it goes on.
 WRONG_CODES, WRONG_FROM = 7, dt.date(1999, 6, 1)
 DELTAS = (dt.date(2000, 1, 1), dt.date(2001, 1, 1))
+# Ranges of dates that cut months, lie in one, hold whole ones only, or hold nothing.
+RANGES = (("1990-01-01", "2005-01-01"), ("1994-03-15", "1995-07-02"), ("1996-05-03", "1996-05-20"), ("1997-02-01", "1997-04-01"), ("2050-01-15", "2051-01-15"))
+FIRST_LOAD_BEFORE = dt.date(1996, 5, 12)
 # A stream of events in parts of so many days, with trades that come a part too late.
 PART_DAYS, PARTS, LATE_EVERY, AGAIN_EVERY, NEXT_EVERY = 8, 4, 50, 20, 7
 
@@ -297,6 +304,71 @@ def _notify_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.pending(candidates, sent)
 
 
+def _notify_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return flags as metrics: A is sent, a run dies while it sends N, later runs go on."""
+    log = ledger.SendLog(spark, scratch_dir(spark, "sends"))
+    lines = inputs.table(spark, sf_dir, "lineitem")
+    asked = lines.select(F.col("l_returnflag").alias("metric"), F.to_date("l_shipdate").alias("data_date"))
+    log.claim(asked.where("metric = 'A'"), "first", NOW)
+    log.confirm("first", NOW)
+    log.claim(asked.where("metric = 'N'"), "second", NOW)
+    third = log.claim(asked, "third", NOW).withColumn("attempt", F.lit("third"))
+    doubted = log.in_doubt().where("attempt = 'second'").select("metric", "data_date", F.lit("doubted").alias("attempt"))
+    shown = materialize(third.unionByName(doubted))
+    log.release("second", NOW)
+    fourth = log.claim(asked, "fourth", NOW).withColumn("attempt", F.lit("fourth"))
+    return shown.unionByName(fourth)
+
+
+def _codes_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods and codes of ranges, from sketches refreshed by two loads, held against exact counts."""
+    folder = scratch_dir(spark, "sketches")
+    store = PriceStore(spark, f"{folder}/store")
+    sketches = CodeSketches(store, f"{folder}/codes")
+    lines = inputs.table(spark, sf_dir, "lineitem")
+    bars = inputs.line_bars(lines, F.col("l_partkey"), F.to_date("l_shipdate")).withColumn("seq", F.lit(1))
+    early = F.col("date") < F.lit(FIRST_LOAD_BEFORE)
+    for name, load in (("first", bars.where(early)), ("second", bars.where(~early | (F.col("volume") % 2 == 0)))):
+        store.upsert(load, name, "seq")
+        sketches.refresh(load)
+
+    def row(since: str, before: str) -> DataFrame:
+        days = dt.date.fromisoformat(since), dt.date.fromisoformat(before)
+        exact = store.read(*days).agg(F.countDistinct("code")).scalar()
+        near = F.abs(F.col("estimate") - F.col("codes")) <= F.col("codes") * codes_error() + 0.5
+        found = sketches.between(*days).withColumnRenamed("codes", "estimate").withColumn("codes", exact)
+        return found.select(*[F.lit(d).alias(n) for d, n in zip(days, ("since", "before"), strict=True)], "from", "to", "rows", "codes", near.alias("within_bound"))
+
+    return reduce(DataFrame.unionByName, [row(*days) for days in RANGES])
+
+
+def _sketched_ranks(prices: DataFrame) -> DataFrame:
+    """Exact percent ranks of each date's volumes, and whether the sketched ones are near."""
+    ranked = sketched_percent_ranks(prices, {"volume": "estimate"}, ["date"])
+    exact = F.percent_rank().over(Window.partitionBy("date").orderBy("volume"))
+    near = F.abs(F.col("estimate") - F.col("volume_rank")) <= 2 * rank_error()
+    return ranked.withColumn("volume_rank", exact).select("code", "date", "volume", "volume_rank", near.alias("within_bound"))
+
+
+def _theme_files_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report files that come in two lots of differing headers, each stored by a run of its own."""
+    base, reports = scratch_dir(spark, "arriving"), inputs.theme_reports(spark, sf_dir)
+    even = F.substring("report_date", 10, 1).cast("int") % 2 == 0
+    for lot in (reports.filter(~even), reports.filter(even).drop("registered_since")):
+        write_theme_reports(lot, f"{base}/in")
+        ingest_reports(spark, f"{base}/in", f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return read_stored_reports(spark, f"{base}/table").drop("last_ignition")
+
+
+def _theme_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with words among the numbers of every second rank and the flags of every third."""
+    folder, reports = scratch_dir(spark, "malformed"), inputs.theme_reports(spark, sf_dir)
+    number = F.when(F.col("rank") % 2 == 0, F.concat(F.lit("about "), "eligible_members")).otherwise(F.col("participants").cast("string"))
+    flag = F.when(F.col("rank") % 3 == 0, "perhaps").otherwise(F.col("floor_pass").cast("string"))
+    write_theme_reports(reports.withColumns({"participants": number, "floor_pass": flag}), folder)
+    return malformed_cells(spark, folder)
+
+
 def _holidays(spark: SparkSession, days: tuple[str, ...] = HOLIDAYS) -> DataFrame:
     return spark.createDataFrame([(d,) for d in days], "day string")
 
@@ -477,6 +549,9 @@ QUERIES: dict[str, Query] = {
     "bar_runs": _on_calendar(bar_runs),
     "asof_bars": _asof_bars,
     "notify_ledger": _notify_ledger,
+    "notify_intents": _notify_intents,
+    "codes_by_range": _codes_by_range,
+    "sketched_ranks": _bars(_sketched_ranks),
     "fetch_plan": _weekly(lambda p: freshness.fetch_plan(p, TODAY)),
     "fetch_plan_by_code": _bars(lambda p: freshness.fetch_plan(p, TODAY, by_code=True)),
     "planned_quotes": _bars(_planned_quotes),
@@ -510,6 +585,8 @@ QUERIES: dict[str, Query] = {
     "theme_files_history": _theme_files(
         lambda spark, folder: themes.theme_history(read_theme_reports(spark, folder))
     ),
+    "theme_files_stored": _theme_files_stored,
+    "theme_malformed": _theme_malformed,
     "theme_stale": _themes(lambda r: themes.report_staleness(r, THEME_NOW)),
     "sweep_metrics": _bars(lambda p: sweep_metrics(p, LOOSE).drop("next_date")),
     "sweep_screen": _bars(lambda p: sweep_screen(p, TWO_TIER)),

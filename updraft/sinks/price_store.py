@@ -19,6 +19,8 @@ from updraft.sources.prices import (
 )
 
 _STAGED, _APPLIED = "staged", "applied"
+# Files of the log from which on it is written as one.
+LOG_FILES = 64
 
 
 class PriceStore:
@@ -31,7 +33,8 @@ class PriceStore:
     only the finished staging rows replace those periods. ``path/log`` records
     both steps: a replacement that died half-way is repeated from the staged
     rows before anything else is merged, and an applied batch is not applied
-    again. One writer at a time.
+    again. The log is compacted to the last state of each batch, so an upsert
+    reads few files however many came before. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, unit: str = "month") -> None:
@@ -101,6 +104,26 @@ class PriceStore:
         row = self.spark.createDataFrame([(batch_id, step)], "batch string, step string")
         row.coalesce(1).write.mode("append").parquet(self.log_path)
 
+    def _compact(self) -> None:
+        """Write a log of many files as one: a row for each batch, with its last state.
+
+        The new file is complete before old ones go, and rows that stand twice in
+        the log mean the same, so this may die anywhere and is done again later.
+        """
+        log = self._log()
+        old = [] if log is None else log.inputFiles()
+        if len(old) < LOG_FILES:
+            return
+        step = F.when(F.bool_or(F.col("step") == _APPLIED), _APPLIED).otherwise(_STAGED)
+        log.groupBy("batch").agg(step.alias("step")).coalesce(1).write.mode("append").parquet(self.log_path)
+        self._delete(old)
+
+    def _delete(self, files: list[str]) -> None:
+        context = self.spark.sparkContext
+        for name in files:
+            path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(name))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, False)
+
     def _stage(
         self, batch: DataFrame, batch_id: str, sequence: str, periods: list[dt.date]
     ) -> None:
@@ -132,3 +155,4 @@ class PriceStore:
             .partitionBy("period").parquet(self.prices_path)
         )
         self._record(batch_id, _APPLIED)
+        self._compact()
