@@ -79,6 +79,17 @@ def test_reports_are_written_as_dated_files(spark, folder, tmp_path):
     assert back == {(r["report_date"], r["rank"]): r for r in reports.collect() if (r["report_date"], r["rank"]) != ("2026-06-24", 2)}
 
 
+def test_written_reports_are_whole_where_files_are_limited(spark, folder, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("limited"))
+    reports = read_theme_reports(spark, folder)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "1")
+    try:
+        write_theme_reports(reports, out)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert read_theme_reports(spark, out).count() == reports.count() == 6
+
+
 def test_malformed_cells_are_counted(spark, tmp_path):
     header = "rank,theme,confidence,participants,floor_pass\n"
     (tmp_path / "daily_report_2026-06-24.csv").write_text(header + "1,a,0.5,x7,True\nfirst,b,,3.0,maybe\n2,c,high,x3,False\n")

@@ -16,7 +16,8 @@ def write_theme_reports(reports: DataFrame, folder: str) -> None:
     staged = f"{folder.rstrip('/')}/_staged-{uuid.uuid4().hex}"
     (
         reports.repartition("report_date").sortWithinPartitions("report_date", "rank")
-        .write.partitionBy("report_date").csv(staged, header=True, encoding="UTF-8", escape='"')
+        # One file for each date, also where the session limits the rows of a file.
+        .write.option("maxRecordsPerFile", 0).partitionBy("report_date").csv(staged, header=True, encoding="UTF-8", escape='"')
     )
     context = reports.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path
