@@ -66,7 +66,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int = SEPA
     ending = int(separator).to_bytes(2, "little").decode("latin-1")
     (
         rows.sortWithinPartitions("kind", "nth").select("kind", F.col("value").cast("string").alias("value"))
-        .write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", ending).text(path)
+        .write.partitionBy("kind").option("maxRecordsPerFile", 0).option("encoding", "ISO-8859-1").option("lineSep", ending).text(path)
     )
 
 
