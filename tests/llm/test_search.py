@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from updraft.llm import jaccard_join, lm_scoring, topk
 from updraft.llm.elias_fano import EliasFano, Trie
@@ -77,6 +78,30 @@ def test_join_equals_all_pairs(spark, k, percent, block):
     assert {tuple(r) for r in got.collect()} == linked(docs, k, percent)
 
 
+def test_pivots_meet_in_rounds_of_bounded_tasks(spark, monkeypatch):
+    # A chain of near copies, each 3 words from the last, whose ends have little in common.
+    rnd = random.Random(4)
+    words, docs = [f"w{i}" for i in range(90)], []
+    for i in range(300):
+        docs.append((rnd.randrange(10**6) * 300 + i, " ".join(words)))
+        words[rnd.randrange(90)] = f"x{i}"
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    block, rounds, joined = 1600, [], jaccard_join.joined
+
+    def noted(rows, *rest):
+        tasks = {r["task"]: r["c"] for r in rows.join(sizes, "id").groupBy("task").agg(F.sum("n").alias("c")).collect()}
+        if any(t.startswith("pivots/") for t in tasks):
+            rounds.append(tasks)
+        return joined(rows, *rest)
+
+    sizes = frame.select(F.col("doc_id").alias("id"), F.lit(88).alias("n"))
+    monkeypatch.setattr(jaccard_join, "joined", noted)
+    got = jaccard_join.link(frame, words=3, percent=80, block_shingles=block)
+    assert {tuple(r) for r in got.collect()} == linked(docs, 3, 80)
+    assert len(rounds) > 1 and len(rounds[-1]) == 1
+    assert all(len(b) <= -(-len(a) // 2) for a, b in zip(rounds, rounds[1:])) and all(max(a.values()) <= 2 * block for a in rounds)
+
+
 def test_join_of_odd_and_no_documents(spark, odd, none):
     got = sorted(((r[0] or 0, r[1], r[2]) for r in jaccard_join.link(odd, words=3, percent=90).collect()), key=str)
     assert len(got) == odd.count()

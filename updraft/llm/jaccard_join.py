@@ -11,10 +11,10 @@ l common ones stays. Documents that share a remaining shingle are one cluster.
 
 Equal sets are one class with one representative, so copies are never paired. A cluster
 of more than ``block_shingles`` is dealt into blocks by size and hash. Blocks are joined alone
-first, then a few members of each block's largest component with one another; what is
-not in the cluster's largest component after that meets all blocks of a fitting size. No
-task holds more than two blocks, and no link is lost: two documents that never meet
-are in one component already.
+first, then a few members of each block's largest component with one another, in rounds over
+fewer and fewer tasks; what is not in the cluster's largest component after that meets all
+blocks of a fitting size. No task holds more than about two blocks or two documents, and no
+link is lost: two documents that never meet are in one component already.
 
 Words are runs other than space and 0x09-0x0D, A-Z lower-cased. With fewer words than
 ``words`` the whole sequence is one shingle; NULL, empty and blank texts have none and
@@ -136,6 +136,36 @@ def size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("long")
 
 
+def pivots_of(own: DataFrame, most: int) -> DataFrame:
+    """A few members of the largest component of each task: PIVOTS, of ``most`` shingles together, at least one."""
+    counts = own.groupBy("task", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("task").agg(F.max(F.struct("c", "root")).alias("m")).select("task", F.col("m.root").alias("root"))
+    each = Window.partitionBy("task").orderBy("id")
+    held = own.join(main, ["task", "root"]).withColumns({"nth": F.row_number().over(each), "sum": F.sum("n").over(each.rowsBetween(Window.unboundedPreceding, 0))})
+    return held.where((F.col("nth") == 1) | (F.col("nth") <= PIVOTS) & (F.col("sum") <= most)).select("task", "cluster", "id", "n", "root")
+
+
+def pivot_links(own: DataFrame, texts: DataFrame, words: int, percent: int, block_shingles: int) -> DataFrame:
+    """Links between the largest components of a cluster's blocks; ``own`` has task, cluster, id, n and root.
+
+    Each round deals the pivots of a cluster's tasks to at most half as many, of half a block
+    on average, joins them there and takes the pivots of what came out, until one task is left.
+    """
+    found = own.sparkSession.createDataFrame([], LINKS)
+    while True:
+        pivots = stored(pivots_of(own, block_shingles // 8), "pivots")
+        weights = pivots.groupBy("cluster").agg(F.count_distinct("task").alias("tasks"), F.sum("n").alias("weight")).where("tasks > 1")
+        groups = F.least(F.ceil(F.col("weight") / (block_shingles // 2)), F.ceil(F.col("tasks") / 2))
+        dealt = pivots.join(weights.select("cluster", groups.alias("groups")), "cluster")
+        task = F.concat_ws("/", F.lit("pivots"), "cluster", F.pmod(F.xxhash64("task"), "groups"))
+        dealt = stored(dealt.withColumn("task", task).select("task", "cluster", "id", "n", "root"), "dealt")
+        if dealt.isEmpty():
+            return found
+        links = stored(joined(dealt.select("task", "cluster", "id", F.col("root").alias("label")), texts, words, percent), "pivot-links")
+        found = found.unionByName(links)
+        own = dealt.drop("root").join(links.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
 def large_links(large: DataFrame, texts: DataFrame, words: int, percent: int, block_shingles: int) -> DataFrame:
     """Links inside clusters of more than one block."""
     sized = large.withColumn("class", size_class(F.col("n"), percent))
@@ -149,16 +179,10 @@ def large_links(large: DataFrame, texts: DataFrame, words: int, percent: int, bl
     plain = ["task", "cluster", "id", "label"]
     inside = stored(joined(blocks.select(*plain), texts, words, percent), "inside")
 
-    # A few members of each block's largest component, against one another.
     own = blocks.join(inside.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    counts = own.groupBy("cluster", "task", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("cluster", "task").agg(F.max(F.struct("c", "root")).alias("m")).select("task", F.col("m.root").alias("root"))
-    nth = F.row_number().over(Window.partitionBy("task").orderBy("id"))
-    pivots = own.join(main, ["task", "root"]).withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
-    among = stored(joined(pivots.select(F.concat_ws("/", F.lit("pivots"), "cluster").alias("task"), "cluster", "id", F.col("root").alias("label")), texts, words, percent), "pivots")
+    known = stored(inside.unionByName(pivot_links(own, texts, words, percent, block_shingles)), "known")
 
     # Whatever is outside the largest component of its cluster meets every block near its size.
-    known = stored(inside.unionByName(among), "known")
     roots = components(known).select("id", F.col("component").alias("root"))
     placed = stored(blocks.drop("label").join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root"), "placed")
     sizes = placed.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
