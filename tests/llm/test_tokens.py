@@ -142,3 +142,53 @@ def test_mix_keeps_rows_and_follows_the_schedule(spark, odd, none):
     out = mixing.mix(odd)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
     assert mixing.mix(none).count() == 0 and mixing.mix(odd, {}).count() == odd.count()
+
+
+def plain_schedule(docs, keys):
+    """(doc_id, source, block, slot, release, deadline) by serving the earliest deadline slot by slot."""
+    size = lambda d: len(d[1] or "")
+    names = sorted({d[2] for d in docs}, key=lambda s: (s is None, s or ""))
+    units = {s: sum(size(d) for d in docs if d[2] == s) for s in names}
+    slots = mixing.slots_of_period({s: max(1, n) ** 0.5 for s, n in units.items()}, mixing.PERIOD)
+    total = sum(slots.values())
+    block_units = min(mixing.BLOCK_UNITS, max(1, -(-sum(units.values()) // (mixing.PERIODS * total))))
+    placed = {}
+    for s in names:
+        at = 0
+        for d in sorted((d for d in docs if d[2] == s), key=lambda d: (keys[d[0]], d[0])):
+            placed[d[0]] = (s, at // block_units)
+            at += size(d)
+    served, done = {}, dict.fromkeys(names, 0)
+    for slot in range(total * (1 + max(b // slots[s] for s, b in placed.values()))):
+        due = [(-(-(done[s] + 1) * total // slots[s]), n, s) for n, s in enumerate(names) if done[s] * total // slots[s] <= slot]
+        deadline, _, s = min(due)
+        served[s, done[s]] = (slot, done[s] * total // slots[s], deadline)
+        done[s] += 1
+    rows = {(i, s, b, *served[s, b]) for i, (s, b) in placed.items()}
+    return rows, slots, block_units
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op2_equals_a_schedule_served_slot_by_slot(spark, tmp_path, seed):
+    from updraft.llm.queries import op2_pfair_mix
+
+    rnd = random.Random(seed)
+    docs = [(i, rnd.choice([None, "", "x" * rnd.randrange(1, 200), "y" * rnd.randrange(3000)]), rnd.choice(["a", "a", "a", "b", "c", None])) for i in range(500)]
+    frame = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, source string, slot long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    keys = dict(map(tuple, frame.select("doc_id", F.xxhash64("doc_id", "text")).collect()))
+    want, slots, block_units = plain_schedule(docs, keys)
+    assert {tuple(r) for r in op2_pfair_mix(spark, str(tmp_path)).collect()} == want
+    # Up to the end of each slot before a source runs out, its units are within a block and a document of its share.
+    size, longest, of = {d[0]: len(d[1] or "") for d in docs}, max(len(d[1] or "") for d in docs), {r[0]: r for r in want}
+    ends = {s: max(r[3] for r in want if r[1] == s) for s in slots}
+    had, total = dict.fromkeys(slots, 0), sum(slots.values())
+    by_slot = sorted(want, key=lambda r: r[3])
+    at = 0
+    for slot in range(min(ends.values())):
+        while at < len(by_slot) and by_slot[at][3] <= slot:
+            had[by_slot[at][1]] += size[by_slot[at][0]]
+            at += 1
+        for s, n in slots.items():
+            assert -block_units <= had[s] - n * (slot + 1) * block_units / total <= block_units + longest
+    assert len(of) == len(docs)

@@ -7,8 +7,10 @@ every source is within one block of its weight. Weights are set to whole
 slots of a period, over which the schedule repeats; the schedule of one period is worked out once and
 each block finds its slot by arithmetic on its number, without a pass over the data.
 
-A block holds ``block_units`` units (characters) of one source. A document lies in
-the block in which it starts, so one longer than a block leaves slots empty. Sources
+A block holds ``block_units`` units (characters) of one source: by default as many as deal the
+table into PERIODS periods, at most BLOCK_UNITS. A document lies in the block in which it starts, so one
+longer than a block leaves slots empty. While no source has run out, the units of a source up to the end of
+any slot are within a block and its longest document of its share of the slots. Sources
 that run out leave their later slots empty as well; the others keep their slots. All rows
 stay: sources without a positive weight follow after the mixture, and NULL
 sources are a source of their own. Within a source documents go by a hash of id and text, then id; rows equal
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD = 1000
+PERIODS = 4
 BLOCK_UNITS = 100_000
 BUCKET_ROWS = 4_000
 LAST = (1 << 63) - 1
@@ -67,10 +70,15 @@ def edf(slots: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int
     return served
 
 
-def smoothed_weights(docs: DataFrame, units: Column, source: str, power: float = 0.5) -> dict[str | None, float]:
-    """Target weights that grow as a power of each source's units: large sources are held back."""
+def source_units(docs: DataFrame, units: Column, source: str) -> dict[str | None, int]:
+    """Units of each source: one row for a source."""
     totals = docs.groupBy(source).agg(F.sum(F.greatest(F.coalesce(units, F.lit(0)), F.lit(0))).alias("n")).collect()
-    return {row[source]: float(max(row["n"] or 0, 1)) ** power for row in totals}
+    return {row[source]: int(row["n"] or 0) for row in totals}
+
+
+def smoothed_weights(totals: Mapping[str | None, int], power: float = 0.5) -> dict[str | None, float]:
+    """Target weights that grow as a power of each source's units: large sources are held back."""
+    return {s: float(max(n, 1)) ** power for s, n in totals.items()}
 
 
 def places(docs: DataFrame, units: Column, id: str, source: str, text: str) -> DataFrame:
@@ -95,7 +103,7 @@ def places(docs: DataFrame, units: Column, id: str, source: str, text: str) -> D
 def schedule(
     docs: DataFrame, weights: Mapping[str | None, float] | None = None, units: Column | None = None,
     id: str = "doc_id", source: str = "source", text: str = "text",
-    block_units: int = BLOCK_UNITS, period: int = PERIOD,
+    block_units: int | None = None, period: int = PERIOD,
 ) -> DataFrame:
     """``docs`` with slot, block, release, deadline and ``place``, the units before it in its source.
 
@@ -104,9 +112,12 @@ def schedule(
     root of each source's units.
     """
     units = F.length(text) if units is None else units
-    weights = smoothed_weights(docs, units, source) if weights is None else weights
+    totals = source_units(docs, units, source) if weights is None or block_units is None else {}
+    weights = smoothed_weights(totals) if weights is None else weights
     slots = slots_of_period(weights, period)
     total = sum(slots.values())
+    if block_units is None:
+        block_units = min(BLOCK_UNITS, max(1, -(-sum(totals.values()) // max(1, PERIODS * total))))
     pattern = docs.sparkSession.createDataFrame(
         [(s, slots[s], *rest) for s, *rest in edf(slots)] if slots else [],
         "_s string, _n long, _j long, _slot long, _release long, _deadline long",
