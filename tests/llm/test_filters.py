@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -150,3 +151,33 @@ def test_grouped_sums_equal_single_ones():
     for text, (total, n) in zip(texts, grouped.T):
         found, counts = quality.bucket_counts(text, 12)
         assert counts.sum() == n and np.isclose((model.weight[found] * counts).sum(), total, atol=1e-4)
+
+
+def test_op5_learns_from_no_held_out_label_and_scores_each_text_alone(spark, tmp_path):
+    from updraft.llm.queries import op5_subword_quality
+
+    rnd = random.Random(3)
+    good, bad = [f"fine{i}" for i in range(30)], [f"junk{i}" for i in range(30)]
+    docs = [(i, " ".join(rnd.choices(good if i % 3 else bad, k=25)), rnd.choice("ab"), "en") for i in range(400)]
+    docs += [(400, None, "a", "en"), (401, "", "b", None), (402, "fine1 " * 5000, None, "fr")]
+    apart = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in docs}
+    results = []
+    # Other labels on held-out rows, other sources and languages, and shuffled rows change nothing.
+    for turn in range(2):
+        folder = f"{tmp_path}/{turn}"
+        rows = [(i, t, s if turn == 0 else "z", g if turn == 0 else "xx") for i, t, s, g in (docs if turn == 0 else docs[::-1])]
+        spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{folder}/documents.parquet")
+        marks = [(i, int((i % 3 > 0) != (turn == 1 and apart[i]))) for i in range(400)]
+        spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        results.append({r["doc_id"]: r for r in op5_subword_quality(spark, folder).collect()})
+    for i, row in results[0].items():
+        assert row["held_out"] == apart[i] and row["predicted"] == int(row["score"] >= 0.7)
+        assert np.isclose(row["score"], results[1][i]["score"], atol=1e-6)
+    assert set(results[0]) == {i for i, *_ in docs}
+    assert all(row["predicted"] == int(i % 3 > 0) for i, row in results[0].items() if i < 400 and apart[i])
+    known = [(*quality.bucket_counts(t, quality.BITS), int(i % 3 > 0)) for i, t, *_ in docs[:400] if not apart[i]]
+    model = quality.train(sorted(known, key=lambda r: (len(r[0]), r[2], r[0].astype(np.int32).tobytes())), bits=quality.BITS)
+    for i, text, *_ in docs:
+        found, counts = quality.bucket_counts(text or "", quality.BITS)
+        alone = float(model.probability(np.array([(model.weight[found] * counts).sum()]), np.array([counts.sum()]))[0])
+        assert np.isclose(alone, results[0][i]["score"], atol=1e-4), i
