@@ -182,3 +182,23 @@ def test_staleness(spark, folder):
     at = lambda now: themes.report_staleness(reports, now).first()["is_stale"]
     assert at(dt.datetime(2026, 6, 25, 20, 0)) is False
     assert at(dt.datetime(2026, 6, 25, 21, 0)) is True
+
+
+def test_page_notes_of_newest_old_and_filtered_reports(spark):
+    days = [("2026-06-23", "A", True), ("2026-06-24", "A", True), ("2026-06-24", "B", None)]
+    reports = spark.createDataFrame(days, "report_date string, theme string, floor_pass boolean")
+
+    def notes(date, now, floor_only=False):
+        report = themes.report_of(reports, date)
+        return themes.page_notes(report, themes.filter_themes(report, floor_only=floor_only), reports, now).first()
+
+    late, due = dt.datetime(2026, 6, 24, 22, 0), dt.datetime(2026, 6, 25, 22, 0)
+    assert notes(None, late)[:] == ("2026-06-24", 2, 2, "", "", "", "theme_flow_2026-06-24.csv")
+    stale = notes(None, due, floor_only=True)
+    assert "2026-06-24 時点" in stale["stale_note"] and "2026-06-25 分" in stale["stale_note"]
+    assert stale["shown_note"] == "絞り込み: 1 / 2 テーマ" and stale["message"] == ""
+    assert notes("2026-06-23", due)["stale_note"] == ""
+    report = themes.report_of(reports)
+    assert themes.page_notes(report, report.limit(0), reports, late).first()["message"]
+    none = themes.page_notes(report.limit(0), report.limit(0), reports.limit(0), late).first()
+    assert none["report_date"] is None and none["file_name"] is None and none["stale_note"] == ""

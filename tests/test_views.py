@@ -67,6 +67,13 @@ def test_report_header_with_and_without_hits(published, prices):
     assert none["base_date"] == "N/A" and none["message"] and none["stale_note"]
 
 
+def test_report_captions(published):
+    cfg = ScreenConfig(metric="turnover")
+    some, none = (views.report_captions(df, cfg).first() for df in (published, published.filter("false")))
+    assert some["tier1_caption"].endswith(f"× {cfg.turnover_vol_mult}") and some["message"] == ""
+    assert some["tier2_caption"] == none["tier2_caption"] and none["hits"] == 0 and none["message"]
+
+
 def test_notifications(published):
     cfg = ScreenConfig()
     rows = views.notification_rows(published, cfg).orderBy("rank").collect()

@@ -17,6 +17,8 @@ NO_MEDAL = "🔹"
 TIER_MARKS = {1: "🔥", 2: "✨"}
 TIP_AVERAGE, TIP_LOWEST, TIP_BASE = "連騰中の平均", " / 最小 ", " / 基準中央値 "
 NO_HITS = "該当する銘柄はありませんでした"
+NO_HITS_PAGE = "条件に合致する銘柄はありませんでした。つまみを緩めて再検索してください。"
+TIER1_CAPTION, TIER2_CAPTION = "tier1 ｜ {days}日以上 × {mult}", "tier2 ｜ {days}日~ × {mult}"
 
 MODE = "{label} ｜ {vol_mode}"
 
@@ -46,7 +48,14 @@ NOTICE_NO_HITS_TITLE = "**📈 連騰・出来高スクリーニング ({run_tim
 NOTICE_NO_HITS = "今回は条件に合致する銘柄はありませんでした。"
 NOTE_LINE = "\n⚠️ {note}"
 
-# Themes
+# Themes: {latest} and {due} are ISO dates
+STALE_REPORT_NOTE = (
+    "最新レポートは {latest} 時点です(直近営業日 {due} 分は未生成)。"
+    "夜間ジョブ実行後に更新されます。"
+)
+SHOWN_THEMES, SHOWN_OF, THEME_UNIT = "絞り込み: ", " / ", " テーマ"
+NO_THEMES = "条件に一致するテーマはありません。"
+REPORT_FILE = "theme_flow_{date}.csv"
 ALL_STATUSES = "すべて"
 IGNITED, WATCHED, STALLED, OUT_OF_RANGE = "初動", "監視中", "失速", "圏外"
 IGNITION_MARK = "⚡ "

@@ -184,3 +184,37 @@ def report_staleness(
     return with_latest_trading_day(newest, moment(now), calendar).withColumn(
         "is_stale", F.date_format("target_day", "yyyy-MM-dd") > F.col("newest")
     )
+
+
+def page_notes(
+    report: DataFrame, shown: DataFrame, reports: DataFrame,
+    now: dt.datetime | Column, calendar: DataFrame | None = None,
+) -> DataFrame:
+    """One row of texts around the report of one date, of which ``shown`` is what the filters leave.
+
+    ``stale_note`` is empty unless the report is the newest and a newer one is due,
+    ``shown_note`` unless themes are left out, ``message`` unless none is left.
+    ``file_name`` names the export of the whole report; without rows there is none.
+    """
+    # One-row summaries, read as scalars instead of joined.
+    left = shown.agg(F.count(F.lit(1))).scalar()
+    newest = report_staleness(reports, now, calendar)
+    state = newest.select(F.struct("newest", "target_day", "is_stale").alias("state")).scalar()
+    summary = report.agg(F.max("report_date").alias("_date"), F.count(F.lit(1)).alias("themes"))
+    summary = summary.withColumns({"shown": left, "_state": state})
+    stale = F.lit(say.STALE_REPORT_NOTE)
+    due = F.date_format("_state.target_day", "yyyy-MM-dd")
+    for name, date in (("{latest}", F.col("_date")), ("{due}", due)):
+        stale = F.replace(stale, F.lit(name), date)
+    count = F.concat(
+        F.lit(say.SHOWN_THEMES), F.col("shown").cast("string"), F.lit(say.SHOWN_OF),
+        F.col("themes").cast("string"), F.lit(say.THEME_UNIT),
+    )
+    is_due = (F.col("_date") == F.col("_state.newest")) & F.col("_state.is_stale")
+    return summary.select(
+        F.col("_date").alias("report_date"), "themes", "shown",
+        F.when(is_due, stale).otherwise(F.lit("")).alias("stale_note"),
+        F.when(F.col("shown") != F.col("themes"), count).otherwise(F.lit("")).alias("shown_note"),
+        F.when(F.col("shown") == 0, F.lit(say.NO_THEMES)).otherwise(F.lit("")).alias("message"),
+        F.replace(F.lit(say.REPORT_FILE), F.lit("{date}"), F.col("_date")).alias("file_name"),
+    )

@@ -113,6 +113,20 @@ def report_header(
     )
 
 
+def report_captions(hits: DataFrame, cfg: ScreenConfig) -> DataFrame:
+    """One row: what each tier asks for, and how to go on where there are no hits."""
+    info = metric_info(cfg)
+    tiers = (
+        (say.TIER1_CAPTION, cfg.streak_top, info.mult, "tier1_caption"),
+        (say.TIER2_CAPTION, cfg.streak_min, info.mult_short, "tier2_caption"),
+    )
+    return hits.agg(F.count(F.lit(1)).alias("hits")).select(
+        "hits",
+        *(F.lit(text.format(days=days, mult=mult)).alias(name) for text, days, mult, name in tiers),
+        F.when(F.col("hits") == 0, F.lit(say.NO_HITS_PAGE)).otherwise(F.lit("")).alias("message"),
+    )
+
+
 def notification_rows(hits: DataFrame, cfg: ScreenConfig) -> DataFrame:
     """The first hits by rank as notification texts."""
     info = metric_info(cfg)

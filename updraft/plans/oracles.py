@@ -56,6 +56,16 @@ def _mults(cfg: ScreenConfig) -> tuple[float, float]:
     return cfg.vol_mult, cfg.vol_mult_short
 
 
+def _captions(cfg: ScreenConfig) -> str:
+    top, short = _mults(cfg)
+    return f"""SELECT count(*) AS hits,
+    'tier1 ｜ {cfg.streak_top}日以上 × {top}' AS tier1_caption,
+    'tier2 ｜ {cfg.streak_min}日~ × {short}' AS tier2_caption,
+    CASE WHEN count(*) > 0 THEN ''
+      ELSE '条件に合致する銘柄はありませんでした。つまみを緩めて再検索してください。' END AS message
+    FROM published"""
+
+
 def _metrics_ctes(cfg: ScreenConfig) -> str:
     m = _measure(cfg)
     return f"""{_POSITIONS},
@@ -380,6 +390,8 @@ ORACLES: dict[str, str] = {
        || 'ランキングはこの基準日のデータで算出しています。' FROM bars) AS stale_note
     FROM hits""",
     ),
+    "report_captions": _published(w.LOOSE, _captions(w.LOOSE)),
+    "report_captions_no_hits": _published(w.NO_HITS, _captions(w.NO_HITS)),
     "results_csv": _published(w.LOOSE, "SELECT * FROM published"),
     "notify_top20": _published(w.LOOSE, _NOTIFY),
     "notify_payload": _published(w.LOOSE, _PAYLOAD),
@@ -566,6 +578,17 @@ ORACLES: dict[str, str] = {
     SELECT report_date, 'participants' AS "column", count(*) AS cells, min('about ' || eligible_members) AS example
     FROM ({_REPORTS}) WHERE rank % 2 = 0 GROUP BY report_date
     UNION ALL SELECT report_date, 'floor_pass', count(*), 'perhaps' FROM ({_REPORTS}) WHERE rank % 3 = 0 GROUP BY report_date""",
+    "theme_page_notes": f"""
+    SELECT report_date, themes, shown,
+           CASE WHEN report_date < '2024-01-31' THEN '最新レポートは ' || report_date
+             || ' 時点です(直近営業日 2024-01-31 分は未生成)。夜間ジョブ実行後に更新されます。'
+             ELSE '' END AS stale_note,
+           CASE WHEN shown <> themes THEN '絞り込み: ' || shown || ' / ' || themes || ' テーマ'
+             ELSE '' END AS shown_note,
+           CASE WHEN shown = 0 THEN '条件に一致するテーマはありません。' ELSE '' END AS message,
+           'theme_flow_' || report_date || '.csv' AS file_name
+    FROM (SELECT max(report_date) AS report_date, count(*) AS themes,
+                 count(*) FILTER (floor_pass) AS shown FROM {_LATEST_REPORT})""",
     "theme_stale": """
     SELECT strftime(max(ts), '%Y-%m-%d') AS newest, DATE '2024-01-31' AS target_day,
            strftime(max(ts), '%Y-%m-%d') < '2024-01-31' AS is_stale

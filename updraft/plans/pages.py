@@ -51,6 +51,7 @@ class ThemePage:
     history: DataFrame
     history_days: DataFrame
     staleness: DataFrame
+    notes: DataFrame
 
 
 def theme_page(
@@ -68,6 +69,7 @@ def theme_page(
     Cards count the whole report, rows only what the filters leave.
     """
     report = themes.report_of(reports, date)
+    shown = themes.filter_themes(report, status, floor_only)
     history = themes.theme_history(reports)
     if picked is None:
         # At most themes.DEFAULT_THEMES names.
@@ -75,8 +77,9 @@ def theme_page(
     return ThemePage(
         dates=themes.report_dates(reports),
         cards=themes.theme_cards(report),
-        rows=themes.theme_rows(themes.filter_themes(report, status, floor_only)).orderBy("rank"),
+        rows=themes.theme_rows(shown).orderBy("rank"),
         history=themes.pivot_history(history, picked).orderBy("date"),
         history_days=themes.history_days(history),
         staleness=themes.report_staleness(reports, now, calendar),
+        notes=themes.page_notes(report, shown, reports, now, calendar),
     )

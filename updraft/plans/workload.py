@@ -134,6 +134,11 @@ def _report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.report_header(screen(prices, LOOSE), prices, LOOSE, TODAY)
 
 
+def _theme_page_notes(reports: DataFrame) -> DataFrame:
+    report = themes.report_of(reports)
+    return themes.page_notes(report, themes.filter_themes(report, floor_only=True), reports, THEME_NOW)
+
+
 def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a universe file: one customer code on many rows."""
     raw = inputs.table(spark, sf_dir, "orders").select(
@@ -522,6 +527,10 @@ QUERIES: dict[str, Query] = {
     "report_rows": _on_published(lambda r: views.report_rows(r, LOOSE)),
     "report_rows_turnover": _on_published(lambda r: views.report_rows(r, TURNOVER), TURNOVER),
     "report_header": _report_header,
+    "report_captions": _on_published(lambda r: views.report_captions(r, LOOSE)),
+    "report_captions_no_hits": lambda spark, sf_dir: views.report_captions(
+        _published(spark, sf_dir, NO_HITS), NO_HITS
+    ),
     "results_csv": _results_csv,
     "notify_top20": _on_published(lambda r: views.notification_rows(r, LOOSE)),
     "notify_payload": _on_published(
@@ -587,6 +596,7 @@ QUERIES: dict[str, Query] = {
     ),
     "theme_files_stored": _theme_files_stored,
     "theme_malformed": _theme_malformed,
+    "theme_page_notes": _themes(_theme_page_notes),
     "theme_stale": _themes(lambda r: themes.report_staleness(r, THEME_NOW)),
     "sweep_metrics": _bars(lambda p: sweep_metrics(p, LOOSE).drop("next_date")),
     "sweep_screen": _bars(lambda p: sweep_screen(p, TWO_TIER)),
