@@ -29,6 +29,49 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch, group):
         assert ids.tolist() == encoder.whole([text or ""])[0].tolist()
 
 
+@pytest.mark.parametrize("literal", [True, False])
+def test_pieces_between_marks_and_letters_give_the_ids_of_the_plain_library(monkeypatch, literal):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(pieces, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(pieces, "GENERATION", 100)
+    plain = Tokenizer.from_file(TOKENIZER)
+    plain.encode_special_tokens = literal
+    rnd = random.Random(3)
+    signs = [*"aZé ß9ɏ×÷ºµĠ中½٣😀  \n\t\r\x1f\x1c\xa0", *map(chr, range(33, 48)), *":;<=>?@[]^_`{|}~\\", "\u0301", "'s", "'ll", " the", "<|endoftext|>"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(30))) for _ in range(3000)]
+    got = PieceEncoder(TOKENIZER, literal).encode(pa.array(texts))
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert pieces.cut(pa.array(["été. naß) it's"])).to_pylist() == [["été", ".", " naß", ")", " it's"]]
+
+
+@pytest.fixture
+def given(monkeypatch):
+    """The texts handed to the library."""
+    texts, whole = [], PieceEncoder.whole
+    monkeypatch.setattr(pieces, "_encoders", {})
+    monkeypatch.setattr(PieceEncoder, "whole", lambda self, new, *by: texts.extend(new) or whole(self, new, *by))
+    return texts
+
+
+def test_pieces_that_are_no_words_go_to_the_library_many_at_a_time(given):
+    encoder = PieceEncoder(TOKENIZER)
+    given.clear()
+    numbers = [f" {n}" for n in range(10_000, 12_000)]
+    assert [x.tolist() for x in encoder.encode(pa.array(numbers))] == [encoder.tokenizer.encode(n).ids for n in numbers]
+    assert len(given) <= 2 + len(numbers) // pieces.JOINED
+
+
+def test_a_worker_gives_pieces_to_the_library_once_for_all_its_tasks(given):
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["some words\nand 17 others", "more words"]})
+    task = seekable.make_shards(TOKENIZER, 2, 100, False)
+    first = [b.to_pylist() for b in task(iter([batch]))]
+    assert given
+    given.clear()
+    assert [b.to_pylist() for b in task(iter([batch]))] == first and not given
+
+
 def ids_of(text):
     return PieceEncoder.of(TOKENIZER).whole([text or ""])[0].tolist()
 

@@ -102,6 +102,7 @@ class ShardReader:
 
 def make_shards(tokenizer: str, end_id: int, shard_bytes: int, literal: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Its bounded cache stays for the worker's next task, which meets many of the same pieces.
         encoder = PieceEncoder.of(tokenizer, literal)
         wide = max(encoder.vocabulary, end_id + 1) > 1 << 16
         end = np.array([end_id], dtype="<u4")
@@ -118,7 +119,6 @@ def make_shards(tokenizer: str, end_id: int, shard_bytes: int, literal: bool) ->
                     shard = Shard(wide)
         if len(shard):
             yield closed()
-        encoder.forget()
 
     return run
 
