@@ -161,6 +161,18 @@ def test_counts_keep_their_documents_when_scans_are_split_anew(spark, tmp_path):
     assert got == [(i, len(ids_of(t)) + 1) for i, t in texts]
 
 
+def test_flat_files_are_bounded_and_count_like_whole_ones(spark, tmp_path):
+    texts = [(i, "word " * (i % 37)) for i in range(300)] + [(300, "word " * 500), (None, None), (301, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    # One file of a whole partition was read as one value, whatever its size.
+    whole = token_files.document_counts(docs, f"{tmp_path}/w", TOKENIZER, segment_ids=1 << 40).collect()
+    parted = token_files.document_counts(docs, f"{tmp_path}/p", TOKENIZER, segment_ids=100).collect()
+    assert sorted(map(str, parted)) == sorted(map(str, whole)) and len(parted) == len(texts)
+    files = lambda at: [f.stat().st_size for f in (tmp_path / at).glob("kind=a-ids/**/*.txt")]
+    assert len(files("w")) == 1 and sum(files("p")) == files("w")[0]
+    assert len(files("p")) > 20 and max(files("p")) <= 2 * (100 + 501 + 1)
+
+
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 3, "b": 2, "c": 2}, {"a": 50, "b": 1, None: 7}, {f"s{i}": i + 1 for i in range(9)}])
 def test_edf_keeps_every_source_within_a_block(weights):
     slots = mixing.slots_of_period(weights, 97)
