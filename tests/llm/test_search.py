@@ -102,6 +102,40 @@ def test_pivots_meet_in_rounds_of_bounded_tasks(spark, monkeypatch):
     assert all(len(b) <= -(-len(a) // 2) for a, b in zip(rounds, rounds[1:])) and all(max(a.values()) <= 2 * block for a in rounds)
 
 
+def test_clusters_hold_no_documents_that_cannot_be_linked(spark):
+    # Few words, so any two texts may share shingles by chance; every fifth text has a near copy, one phrase is in all short ones.
+    rnd, docs = random.Random(7), []
+    for i in range(300):
+        words = [f"w{rnd.randrange(24)}" for _ in range(rnd.choice([16, 60, 200]))]
+        words = "all of them".split() + words if len(words) == 16 else words
+        docs.append((10 * i, " ".join(words)))
+        if i % 5 == 0:
+            docs.append((10 * i + 1, " ".join([*words, "end"])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    base = frame.selectExpr("doc_id AS id", "CAST(text AS binary) AS text").mapInArrow(jaccard_join.sketches(3, 90), jaccard_join.SKETCH).cache()
+    found = {r["id"]: r["cluster"] for r in jaccard_join.clusters(base, 90).collect()}
+    sizes = Counter(found.values())
+    assert all(found[10 * i] == found[10 * i + 1] for i in range(0, 300, 5))
+    # Before, nearly all texts were one cluster; now only the short ones are, which are tied by a frequent shingle.
+    n = {r["id"]: r["n"] for r in base.collect()}
+    assert all(max(n[i] for i in found if found[i] == c) < 30 or m < 10 for c, m in sizes.items())
+    got = jaccard_join.link(frame, words=3, percent=90, block_shingles=400)
+    assert {tuple(r) for r in got.collect()} == linked(docs, 3, 90)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_bound_of_common_shingles_from_prefixes(percent):
+    rnd, out = np.random.default_rng(percent), 0
+    for _ in range(400):
+        pool = rnd.choice(1000, rnd.integers(2, 120), replace=False)
+        a, b = (np.unique(np.concatenate([rnd.permutation(pool)[: rnd.integers(1, len(pool) + 1)], rnd.choice(1000, rnd.integers(0, 4))])) for _ in range(2))
+        ends = (x[: jaccard_join.prefix_size(len(x), percent)] for x in (a, b))
+        most = jaccard_join.most_common(next(ends), len(a), next(ends), len(b))
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+        out += most < jaccard_join.least_overlap(len(a) + len(b), percent)
+    assert out > 100
+
+
 def test_join_of_odd_and_no_documents(spark, odd, none):
     got = sorted(((r[0] or 0, r[1], r[2]) for r in jaccard_join.link(odd, words=3, percent=90).collect()), key=str)
     assert len(got) == odd.count()

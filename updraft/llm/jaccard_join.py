@@ -7,7 +7,8 @@ clusters cannot reach the threshold. That is shown by prefixes. Of n shingles a
 may miss n - ceil(t * n), so among the p = n - ceil(t * n) + l shingles with the smallest
 hashes both have l in common at least. Shingles that no second document has in its prefix
 are dropped; of the rest the l - 1 most frequent may be dropped as well, since one of
-l common ones stays. Documents that share a remaining shingle are one cluster.
+l common ones stays. Documents that share a remaining shingle are one cluster, unless their
+sizes or what is known of their prefixes rule a link out.
 
 Equal sets are one class with one representative, so copies are never paired. A cluster
 of more than ``block_shingles`` is dealt into blocks by size and hash. Blocks are joined alone
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from updraft.llm.components import components
-from updraft.llm.signature_tree import SignatureTree, like_order
+from updraft.llm.signature_tree import SignatureTree, least_overlap, like_order
 from updraft.llm.tables import stored
 from updraft.llm.words import mix, scan, shingle_set
 
@@ -41,6 +42,7 @@ PERCENT = 80
 BLOCK_SHINGLES = 1_000_000
 BROADCAST_ROWS = 1_000_000
 PIVOTS = 8
+PAIRED = 8
 U64 = np.uint64
 SKETCH = "id long, n long, h1 long, h2 long, prefix array<long>"
 LINKS = "a long, b long"
@@ -89,10 +91,73 @@ def clusters(base: DataFrame, percent: int) -> DataFrame:
     need = F.greatest(F.lit(1), F.expr(f"((n * {percent} + 99) div 100) div 20"))
     each = Window.partitionBy("id", "n")
     ranked = shared.withColumns({"at": F.row_number().over(each.orderBy("df", "s")), "all": F.count(F.lit(1)).over(each)})
-    chosen = stored(ranked.where(F.col("at") <= F.col("all") - need + 1).select("id", "s"), "chosen")
-    leaders = chosen.groupBy("s").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("s", "b")
-    edges = chosen.join(leaders, "s").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
-    return components(edges).withColumnRenamed("component", "cluster")
+    chosen = stored(ranked.where(F.col("at") <= F.col("all") - need + 1).select("id", "n", "s"), "chosen")
+    return components(edges(chosen, base, percent)).withColumnRenamed("component", "cluster")
+
+
+def edges(chosen: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that connect all documents with a link; ``chosen`` has id, n and s.
+
+    Documents that share a shingle of at most PAIRED are paired and tested by all that is known of
+    their prefixes. Those of a more frequent one are ordered by size; where the next size is too large
+    for the one before, no pair across that place has a link, and each run between is tied to one of its first.
+    """
+    fits = lambda small, large: 100 * small >= percent * large
+    each = lambda *order: Window.partitionBy("s").orderBy(*order)
+    frequent = hinted(stored(chosen.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PAIRED).select("s"), "frequent"))
+    many = stored(chosen.join(frequent, "s"), "many")
+    starts = F.coalesce(~fits(F.lag("n").over(each("n")), F.col("n")), F.lit(True))
+    sizes = many.groupBy("s", "n").agg(F.min("id").alias("id")).withColumn("starts", starts)
+    runs = stored(sizes.select("s", "n", F.last(F.when(F.col("starts"), F.col("id")), True).over(each("n")).alias("b")), "runs")
+    ties = many.join(hinted(runs), ["s", "n"]).select(F.col("id").alias("a"), "b", F.lit(False).alias("test"))
+
+    after = F.array(*(F.lead(F.struct("id", "n"), k).over(each("n", "id")) for k in range(1, PAIRED)))
+    near = F.filter("after", lambda o: o.isNotNull() & fits(F.col("n"), o["n"]))
+    few = chosen.join(frequent, "s", "left_anti").withColumn("after", after).select("id", F.explode(near).alias("o"))
+    pairs = few.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.lit(True).alias("test"))
+    both = stored(ties.unionByName(pairs).where("a <> b").distinct(), "candidates")
+
+    # Of an id with several rows nothing is known.
+    tested = both.where("test").select("a", "b")
+    wanted = stored(tested.select(F.col("a").alias("id")).unionByName(tested.select(F.col("b").alias("id"))).distinct(), "wanted")
+    known = base.select("id", "n", "prefix").join(hinted(wanted), "id").groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("prefix").alias("p"))
+    known = stored(known.where("c = 1").drop("c"), "prefixes")
+    of = lambda x: known.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("p").alias(f"{x}p"))
+    found = tested.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "an", "ap", "b", "bn", "bp").mapInArrow(possible(percent), LINKS)
+    return both.where("not test").select("a", "b").unionByName(found)
+
+
+def most_common(a: np.ndarray, n: int, b: np.ndarray, m: int) -> int:
+    """Upper bound of the common shingles of sets of ``n`` and ``m``, of which the smallest are ``a`` and ``b``.
+
+    Below the end of either both are known. Equal 48 bits count as equal shingles.
+    """
+    ends = [x[-1] for x, size in ((a, n), (b, m)) if len(x) < size]
+    if ends:
+        a, b = a[: np.searchsorted(a, min(ends))], b[: np.searchsorted(b, min(ends))]
+    held = np.concatenate([b, [-1]])
+    common = int((held[np.searchsorted(b, a)] == a).sum())
+    return common + min(n - len(a), m - len(b))
+
+
+def possible(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` on (a, its size and prefix, b, its size and prefix): the pairs whose link is not ruled out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            an, ap, bn, bp = (batch.column(i) for i in (1, 2, 4, 5))
+            flat, at = [], []
+            for lists in (ap, bp):
+                flat.append(lists.values.to_numpy())
+                at.append(lists.offsets.to_numpy())
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for i in np.flatnonzero(ap.is_valid().to_numpy(zero_copy_only=False) & bp.is_valid().to_numpy(zero_copy_only=False)):
+                n, m = an[i].as_py(), bn[i].as_py()
+                a, b = (values[ends[i] : ends[i + 1]] for values, ends in zip(flat, at))
+                keep[i] = most_common(a, n, b, m) >= least_overlap(n + m, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(3).filter(pa.array(keep))], names=["a", "b"])
+
+    return run
 
 
 def join_task(words: int, percent: int) -> Callable[[pa.Table], pa.Table]:
