@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from updraft.llm.components import components
 from updraft.llm.signature_tree import SignatureTree, least_overlap, like_order
 from updraft.llm.tables import stored
-from updraft.llm.words import mix, scan, shingle_set
+from updraft.llm.words import give_back, mix, scan, shingle_set
 
 WORDS = 5
 PERCENT = 80
@@ -78,6 +78,7 @@ def sketches(words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 ],
                 names=["id", "n", "h1", "h2", "prefix"],
             )
+        give_back()
 
     return run
 
@@ -156,6 +157,7 @@ def possible(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 a, b = (values[ends[i] : ends[i + 1]] for values, ends in zip(flat, at))
                 keep[i] = most_common(a, n, b, m) >= least_overlap(n + m, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(3).filter(pa.array(keep))], names=["a", "b"])
+        give_back()
 
     return run
 
@@ -183,6 +185,8 @@ def join_task(words: int, percent: int) -> Callable[[pa.Table], pa.Table]:
             a.append(ids[rows])
             b.append(smallest[found])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        sets = []
+        give_back()
         return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
     return run

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from updraft.llm.pieces import PieceEncoder
+from updraft.llm.words import give_back
 
 # Fixed values of the public seekable format and of skippable frames.
 SEEK_MAGIC = 0x8F92EAB1
@@ -119,6 +120,7 @@ def make_shards(tokenizer: str, end_id: int, shard_bytes: int, literal: bool) ->
                     shard = Shard(wide)
         if len(shard):
             yield closed()
+        give_back()
 
     return run
 

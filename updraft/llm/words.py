@@ -7,6 +7,7 @@ so a batch costs a few passes over its bytes whatever the number of words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,6 +26,14 @@ GAP[[0x20, *range(0x09, 0x0E)]] = True
 _powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
+def give_back() -> None:
+    """Memory that Arrow and, with glibc, the allocator keep for later goes back to the system, while the worker waits."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over all 64 output bits."""
     x = x ^ (x >> U64(30))
